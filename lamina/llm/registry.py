@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import binary_ids, packing, token_counts
+from . import binary_ids, near_dedup, packing, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_token_binary": binary_ids.op9_token_binary,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
