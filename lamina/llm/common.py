@@ -47,9 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, deleted by purge()."""
-    _scratch.append(path := f"{shared_dir(spark)}/lamina-{uuid.uuid4().hex[:12]}-{name}")
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new place in the shared folder, deleted by purge() unless it is lasting."""
+    path = f"{shared_dir(spark)}/lamina-{uuid.uuid4().hex[:12]}-{name}"
+    if not lasting:
+        _scratch.append(path)
     return path
 
 
