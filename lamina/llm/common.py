@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: ASCII white space; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a worker's word cache; a full one is emptied, so a worker's memory is bounded.
@@ -26,13 +26,7 @@ _scratch: list[str] = []
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, and send them this package, once a session."""
-    if not getattr(spark.sparkContext, "_lamina_sent", False):
-        root = Path(__file__).resolve().parents[1]
-        with zipfile.ZipFile(at := f"{tempfile.mkdtemp(prefix='lamina-')}/lamina.zip", "w") as out:
-            for p in sorted(root.rglob("*.py")):
-                out.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(at)
-        spark.sparkContext._lamina_sent = True
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
