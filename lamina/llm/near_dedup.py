@@ -202,13 +202,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(docs), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
+    # results of groups are written before they are joined: the joins then stand on plain exchanges, which can be split at a hot key
+    classes = stored(signed.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "sets")
     slim = stored(signed.select("doc_id", "n_shingles", "a", "b").join(classes, ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("rep")), "classes")
     first = signed.filter("n_shingles > 0").join(classes.filter("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     first = stored(first.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
 
     banded = first.select("doc_id", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).filter("lead <> other").select("band", "lead")
+    leads = stored(leads, "leads")
     proposed = banded.join(leads, "band").filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     near = connected_components(proposed).select(F.col("id").alias("doc_id"), F.col("root").alias("component"))
     members = stored(first.select("doc_id", "n_shingles", "sketch").join(near, "doc_id"), "members")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: The verdict where no rule fits.
@@ -62,7 +62,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     met = _keyed(expressions, "suffix", "stem").withColumnRenamed("digest", "own").join(keyed, "short")
     sure = met.filter((F.col("own") == F.col("digest")) & (F.col("suffix") == F.col("rule_host")) & F.col("path").startswith(F.col("rule_path")))
     rank = F.struct((-F.length("rule")).alias("a"), (-F.length("rule_host")).alias("b"), F.col("rule"), F.col("verdict"))
-    best = sure.groupBy("host", "path").agg(F.min(rank).alias("best")).select("host", "path", "best.rule", "best.verdict")
+    # written first, so that the join below stands on plain exchanges, which adaptive execution can split at a hot url
+    best = stored(sure.groupBy("host", "path").agg(F.min(rank).alias("best")).select("host", "path", "best.rule", "best.verdict"), "verdicts")
     return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 

@@ -1,0 +1,262 @@
+"""Each operator on rows made by hand, with the odd cases that its semantics have."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lamina.functions import text as fx
+from lamina.operators import entities, notes, prompt, quality, queries, rerank, segment, stats, vectors
+
+
+def values(spark, f, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    return [r["x"] for r in rows.select("i", f(F.col("text")).alias("x")).orderBy("i").collect()]
+
+
+def lines(spark, f, *xs):
+    return spark.createDataFrame([(list(xs),)], "xs array<string>").select(f(F.col("xs")).alias("y")).first()["y"]
+
+
+def test_text_functions(spark):
+    assert values(spark, fx.strip, " \t a b \n", "", None) == ["a b", "", None]
+    assert values(spark, fx.terms, "CHA2DS2-VASc, µg/ml a--b") == [["cha2ds2-vasc", "µg/ml", "a", "b"]]
+    assert values(spark, fx.plain_digits, "CHA₂DS₂ 10⁹") == ["CHA2DS2 109"]
+    pair = spark.createDataFrame([("a b c d", "A b C x y z"), ("", "a"), ("a b c d e", "a b c d")], "a string, b string")
+    assert [r[0] for r in pair.select(fx.overlap(fx.word_set(F.col("a")), fx.word_set(F.col("b")))).collect()] == [0.75, 0.0, 1.0]
+
+
+def test_blocks_and_pages(spark):
+    row = lambda n, y0, y1, x0=100.0, x1=300.0, text="long enough": ("d", 1, n, x0, y0, x1, y1, 600.0, 800.0, text)
+    blocks = spark.createDataFrame(
+        [row(0, 100.0, 120.0, text="  second? no, first "), row(1, 10.0, 39.9), row(2, 10.0, 40.0), row(3, 760.0, 780.0), row(4, 760.1, 780.0), row(5, 100.0, 120.0, 0.0, 29.0), row(6, 100.0, 120.0, 571.0, 590.0), row(7, 100.0, 120.0, text="short")],
+        "doc_id string, page int, block_no int, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, text string",
+    )
+    kept = quality.filter_blocks(blocks)
+    assert [r["block_no"] for r in kept.orderBy("block_no").collect()] == [0, 2, 3]
+    assert quality.assemble_pages(kept).first()["text"] == "second? no, first\nlong enough\nlong enough"
+    more = blocks.unionByName(blocks.filter("block_no = 1").withColumn("page", F.lit(2)))
+    assert quality.empty_page_share(more).first().asDict() == {"doc_id": "d", "pages": 2, "empty_share": 0.5, "warn": True}
+
+
+def test_page_predicates(spark):
+    nine = "\n".join(["plain line"] * 9)
+    assert values(spark, quality.is_bibliography, nine + "\ndoing", nine + "\nplain\ndoing", "J Med 2021; 28:1", "", "2021 28") == [True, False, True, False, False]
+    abbreviations = lambda n: "\n".join([f"A{i}B" for i in range(n)])
+    assert values(spark, quality.is_abbreviation_list, abbreviations(11), abbreviations(12)) == [False, True]
+    toc = "Contents of this book\n" + "\n".join(f"Chapter {i} ........ {i}" for i in range(9))
+    assert values(spark, quality.is_index, toc, "short", "A long page of plain text that goes on.") == [True, False, False]
+    assert [r["page"] for r in quality.good_pages(spark.createDataFrame([("d", 1, toc), ("d", 2, "Good text here, nothing else.")], "doc_id string, page int, text string")).collect()] == [2]
+
+
+def test_line_and_sentence_filters(spark):
+    assert lines(spark, quality.without_reference_numbers, "risk.12,13–15 here", "CHA2DS2", "1.25 mg", "4,000", "a1", "(x)3", " 7 ") == ["risk. here", "CHADS", "1. mg", "4,", "a", "(x)", "7"]
+    assert lines(spark, quality.without_garbled, "éééééa", "éééa", "   ", "ok") == ["éééa", "ok"]
+    assert lines(spark, quality.without_summaries, " a ", "© b", "a;b;c;d", "a;b;c") == ["a", "a;b;c"]
+    assert lines(spark, quality.without_captions, "Table  2 shows", "figure 1", "Fig. 3", "Recommendation Table 4", "Tables are", "Supplementary 1", "See Table 2") == ["Tables are", "See Table 2"]
+
+
+def test_merge_lines(spark):
+    assert lines(spark, segment.merge_lines, "A bro-", "ken word", "", "goes on.", "Next-", "one:", "last-") == ["A broken word goes on.", "Nextone:", "last-"]
+    assert lines(spark, segment.merge_lines, "ends.-", "new", "-", "x") == ["ends.", "new x"]
+    assert lines(spark, segment.merge_lines) == []
+
+
+def slow_merge(xs):
+    out, buffer = [], ""
+    for x in map(str.strip, xs):
+        if not x:
+            continue
+        if not buffer:
+            buffer = x
+            continue
+        glued = buffer[-1] in "-–­"
+        if glued:
+            buffer = buffer[:-1]
+        if buffer and buffer[-1] in ".:;?!,":
+            out.append(buffer)
+            buffer = x
+        else:
+            buffer += x if glued else " " + x
+    return [*out, buffer] if buffer else out
+
+
+def test_merge_lines_against_a_fold(spark):
+    import random
+
+    rng = random.Random(3)
+    cases = [[rng.choice(["ab", "c-", "d.", "e,", "-", "", " f ", ".-", "g–", "h;"]) for _ in range(rng.randrange(9))] for _ in range(300)]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, xs array<string>")
+    got = {r["i"]: r["y"] for r in rows.select("i", segment.merge_lines(F.col("xs")).alias("y")).collect()}
+    assert [got[i] for i in range(len(cases))] == [slow_merge(c) for c in cases]
+
+
+def test_sentences(spark):
+    f = lambda c: segment.split_sentences(F.array(c), ["dr", "e.g"])
+    assert values(spark, f, "See Dr. Who.  Then go! Ok?") == [["See Dr. Who.", "Then go!", "Ok?"]]
+    assert values(spark, lambda c: segment.split_sentences(F.array(c)), "See Dr. Who.") == [["See Dr.", "Who."]]
+    long = "x" * 1199
+    assert lines(spark, segment.split_oversized, long + "y", long + "yz", long + "; z! w") == [long + "y", long + "yz", long + ";", "z!", "w"]
+    units = spark.createDataFrame([("take 5 ml. of",)] * 5 + [("ml. and of",)], "unit string")
+    assert [r["token"] for r in segment.learn_abbreviations(units).collect()] == ["ml"]
+
+
+def sentence_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "doc_id string, page int, sent_no int, sentence string")
+
+
+def test_chunks(spark):
+    a, b, c = "a" * 500, "b" * 600, "c" * 300
+    rows = sentence_rows(spark, ("d", 1, 0, a), ("d", 1, 1, b), ("d", 2, 0, c), ("e", 1, 0, "x"))
+    got = sorted(tuple(r) for r in segment.chunk(rows).collect())
+    assert got == [("d", 0, 1, 1, f"{a} {b}"), ("d", 1, 2, 2, f"{a} {b} {c}"), ("e", 0, 1, 1, "x")]  # the overlap's page isn't counted, and the limit gives way
+    carried = sorted(tuple(r) for r in segment.chunk(rows, carry_across_docs=True).collect())
+    assert carried[-1] == ("d", 1, 2, 1, f"{a} {b} {c}") or len(carried) == 3
+    assert segment.chunk(rows.limit(0)).count() == 0
+    assert [tuple(r) for r in segment.chunk(sentence_rows(spark, ("d", 1, 0, "y" * 1300)), overlap=2).collect()] == [("d", 0, 1, 1, "y" * 1300)]
+
+
+@pytest.mark.parametrize("n", [1, 4, 16])
+def test_chunks_do_not_depend_on_partitions(spark, n):
+    rows = sentence_rows(spark, *[(f"d{i % 3}", i // 10, i, "word " * (i % 50)) for i in range(300)]).repartition(n)
+    assert hash(tuple(sorted(tuple(r) for r in segment.chunk(rows, 400).collect()))) == hash(tuple(sorted(tuple(r) for r in segment.chunk(rows.coalesce(1), 400).collect())))
+
+
+def test_vocabulary(spark):
+    import math
+
+    texts = spark.createDataFrame([("the cat sat",), ("the cat ran",), ("cat dog",), ("dog µg/ml",)], "text string")
+    got = {r["term"]: (r["df"], round(r["idf"], 9)) for r in stats.vocabulary(texts).collect()}
+    assert got == {"cat": (3, round(math.log(5 / 4) + 1, 9)), "dog": (2, round(math.log(5 / 3) + 1, 9))}
+
+
+def index(spark, *rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "chunk_id long, doc_id string, text string, embedding array<float>")
+
+
+def test_search_and_merge(spark):
+    i = index(spark, ("a", "t", [1.0, 0.0]), ("a", "t", [1.0, 0.0]), ("b", "t", [0.0, 1.0]), ("c", "t", [0.5, 0.5]))
+    q = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.0, 1.0])], "note_id long, q_no int, embedding array<float>")
+    got = vectors.top_k(q, i, 2)
+    assert sorted((r["q_no"], r["rank"], r["chunk_id"], r["score"]) for r in got.collect()) == [(1, 1, 0, 1.0), (1, 2, 1, 1.0), (2, 1, 2, 1.0), (2, 2, 3, 0.5)]
+    assert vectors.top_k(q, i, 30).count() == 8
+    pool = rerank.merge_first_seen(vectors.top_k(q, i, 3))
+    assert [(r["chunk_id"], r["q_no"], r["score"]) for r in pool.orderBy("pool_pos").collect()] == [(0, 1, 1.0), (1, 1, 1.0), (3, 1, 0.5), (2, 2, 1.0)]
+    assert vectors.sanity(i).first().asDict() == {"n": 4, "dense": True, "one_dim": True}
+    assert not vectors.sanity(i.filter("chunk_id <> 1")).first()["dense"]
+    numbered = vectors.with_dense_ids(i.drop("chunk_id").withColumn("k", F.monotonically_increasing_id()), "doc_id", "k")
+    assert sorted((r["chunk_id"], r["doc_id"]) for r in numbered.collect()) == [(0, "a"), (1, "a"), (2, "b"), (3, "c")]
+    with pytest.raises(ValueError):
+        rerank.require_rows(i.limit(0), "search")
+
+
+def test_primary_sources(spark):
+    pool = lambda *docs: spark.createDataFrame([(0, k, d) for k, d in enumerate(docs)], "note_id long, chunk_id long, doc_id string")
+    of = lambda df, ratio: sorted(r["doc_id"] for r in rerank.primary_sources(df, ratio).filter("is_primary").collect())
+    assert of(pool("a", "a", "b", "c", "d"), 0.4) == ["a"]
+    assert of(pool("a", "b", "c", "d"), 0.35) == ["a", "b", "c", "d"]
+    assert of(pool("a", "a"), 0.4) == ["a"]
+
+
+def test_rerank(spark):
+    pool = spark.createDataFrame([(0, 10, 1, "a", "x y z"), (0, 11, 2, "a", "p q"), (0, 12, 3, "b", "m n o"), (0, 13, 4, "a", "x y z w")], "note_id long, chunk_id long, pool_pos int, doc_id string, text string")
+    pairs = spark.createDataFrame([(0, 1, 10, 0.5), (0, 1, 11, 0.5), (0, 1, 12, 0.2), (0, 1, 13, 0.4), (0, 2, 10, -0.1), (0, 2, 11, -0.2), (0, 2, 12, 0.9), (0, 2, 13, 0.0)], "note_id long, q_no int, chunk_id long, pair_score double")
+    assert sorted((r["q_no"], r["chunk_id"]) for r in rerank.category_leaders(pairs, pool).collect()) == [(1, 10), (2, 12)]
+    final = {r["chunk_id"]: round(r["final_score"], 9) for r in rerank.final_scores(pairs, pool).collect()}
+    assert final == {10: 0.55, 11: 0.5, 12: round(0.9 * 1.1 * 0.85, 9), 13: 0.4}
+    asked = spark.createDataFrame([(0, 1, "q"), (0, 2, "q")], "note_id long, q_no int, query string")
+    assert [(r["rank"], r["chunk_id"]) for r in rerank.rerank(asked, pool, pairs, 8).orderBy("rank").collect()] == [(1, 12), (2, 10), (3, 11)]  # 13 holds all of 10
+    assert [r["chunk_id"] for r in rerank.rerank(asked, pool, pairs, 1).collect()] == [12]
+    assert sorted((r["q_no"], r["rank"], r["chunk_id"]) for r in rerank.single_query_rerank(pairs, pool, 2).collect()) == [(1, 1, 10), (1, 2, 11), (2, 1, 12), (2, 2, 13)]
+
+
+def test_near_copies_are_judged_against_kept_ones_only(spark):
+    a = {f"a{i}" for i in range(10)}
+    b = {f"a{i}" for i in range(2, 10)} | {"b0", "b1"}
+    c = {f"a{i}" for i in range(4, 10)} | {"b0", "b1", "c0", "c1"}
+    pool = spark.createDataFrame([(0, i, i, "d", " ".join(sorted(s)), 1.0 - i / 10) for i, s in enumerate((a, b, c))], "note_id long, chunk_id long, pool_pos int, doc_id string, text string, final_score double")
+    assert [r["chunk_id"] for r in rerank.select_final(pool).orderBy("rank").collect()] == [0, 2]  # a and b, b and c overlap, a and c do not
+
+
+def slow_mmr(sims, near, top_j):
+    left, out = list(range(len(sims))), []
+    while left and len(out) < top_j:
+        best = max(left, key=lambda i: (0.5 * sims[i] - 0.5 * (max(near[i][j] for j in out) if out else 0), -i))
+        out.append(best)
+        left.remove(best)
+    return out
+
+
+def test_mmr(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, q = rng.standard_normal((8, 4)).astype(np.float32), rng.standard_normal(4).astype(np.float32)
+    rows = spark.createDataFrame([(0, 1, i + 1, i, x[i].tolist(), q.tolist()) for i in range(8)], "note_id long, q_no int, rank int, chunk_id long, embedding array<float>, q_embedding array<float>")
+    x, q = x.astype(float), q.astype(float)
+    for top in (5, 20):
+        assert [r["chunk_id"] for r in rerank.mmr(rows, top).orderBy("mmr_rank").collect()] == slow_mmr(x @ q, x @ x.T, top)
+
+
+def note(first, diagnosis="FRACTURE.", prognosis="30 days"):
+    return f"{first}\nMedical history:\n- Pathological proximate: Fell. \n- Remote pathology: None.\n\nObjective examination:\nPain.\n\nClinical diary:\n- Rest.\n\nDiagnosis: {diagnosis}\nPrognosis: {prognosis}\n"
+
+
+def test_note_fields(spark):
+    firsts = ["MALE, 71 AA", "Other, 3 months", "F, 2 AA and 8 MONTHS", "no comma", "WOMAN, 27 years old", "M, unknown", "M, 1 AA 5 months"]
+    rows = spark.createDataFrame([(i, note(f)) for i, f in enumerate(firsts)] + [(99, "nothing")], "note_id long, text string")
+    got = {r["note_id"]: r for r in notes.fields(rows).collect()}
+    assert [(got[i]["age"], got[i]["neonatal"]) for i in range(7)] == [(71, False), (0, True), (2, False), (None, False), (27, False), (None, False), (1, False)]
+    assert got[0]["gender"] == "MALE" and got[1]["gender"] == ""
+    assert (got[0]["medical_history"], got[0]["remote_medical_history"], got[0]["exams"], got[0]["clinical_diary"]) == ("Fell. \n-", "None.", "Pain.", "- Rest.")
+    assert (got[0]["diagnosis"], got[0]["prognosis"], got[99]["diagnosis"]) == ("FRACTURE.", "30 days", "")
+    early = spark.createDataFrame([(0, note("M, 1 AA").replace("Rest.", "Diagnosis and need for surgery."))], "note_id long, text string")
+    assert notes.fields(early).first()["diagnosis"].startswith("and need for surgery.")
+    ages = spark.createDataFrame([(a, False) for a in (0, 1, 2, 14, 15, 64, 65)] + [(30, True), (None, True)], "age int, neonatal boolean")
+    assert [r[0] for r in ages.select(notes.age_bracket(F.col("age"), F.col("neonatal"))).collect()] == ["neonatal", "neonatal", "pediatric", "pediatric", None, None, "elderly", "neonatal", None]
+
+
+def test_entities(spark):
+    text = "No fever, cough persists. Denies pain; Asthma and asthma. Test: negative. Fever negative"
+    n = spark.createDataFrame([(0, text)], "note_id long, text string")
+    g = spark.createDataFrame([("fever", "DISEASE_DISORDER"), ("cough", "DISEASE_DISORDER"), ("pain", "DISEASE_DISORDER"), ("asthma", "DISEASE_DISORDER"), ("test", "DIAGNOSTIC_PROCEDURE")], "term string, etype string")
+    found = entities.find_terms(n, g)
+    assert all(text[r["start"] : r["stop"]] == r["word"] for r in found.collect()) and found.count() == 7
+    flagged = entities.affirmed(found, n)
+    assert sorted((r["word"], r["start"]) for r in flagged.filter("negated").collect()) == [("Fever", 74), ("fever", 3), ("pain", 33)]
+    first = entities.first_mentions(flagged.filter("not negated"))
+    assert [(r["etype"], r["ord"], r["word"]) for r in first.orderBy("etype", "ord").collect()] == [("DIAGNOSTIC_PROCEDURE", 1, "Test"), ("DISEASE_DISORDER", 1, "cough"), ("DISEASE_DISORDER", 2, "Asthma")]
+    vocabulary = spark.createDataFrame([("asthma", 3.0), ("cough", 3.0)], "term string, idf double")
+    assert [(r["word"], r["rank"]) for r in entities.ranked(entities.scored(first, vocabulary)).orderBy("rank").collect()] == [("cough", 1), ("Asthma", 2)]
+
+
+def test_condense(spark):
+    diary = "- CHA₂DS₂ is 3. ECG done.\n- Nothing here.\n- ecg again; ECGs no. ECG done."
+    rows = spark.createDataFrame([(diary, ["ECG", "CHA2DS2", "nothing"]), (diary, [])], "d string, w array<string>")
+    assert [r[0] for r in rows.select(entities.condense(F.col("d"), F.col("w"))).collect()] == ["ECG done. ecg again; ECGs no. CHA₂DS₂ is 3.", ""]
+
+
+def test_queries(spark):
+    fields = notes.fields(spark.createDataFrame([(0, note("FEMALE, 71 AA")), (1, note("MALE, 30 AA", ""))], "note_id long, text string"))
+    words = spark.createDataFrame([(0, "DISEASE_DISORDER", ["a", "b"], ["b", "a"]), (0, "MEDICATION", [], ["raw"]), (0, "DIAGNOSTIC_PROCEDURE", ["Rest"], ["Rest"]), (1, "DIAGNOSTIC_PROCEDURE", ["scan"], ["scan"])], "note_id long, etype string, words array<string>, all_words array<string>")
+    got = [(r["note_id"], r["q_no"], r["kind"], r["query"], r["for_retrieval"]) for r in queries.build_queries(fields, words).orderBy("note_id", "q_no").collect()]
+    assert got[0][3].startswith("a b. FRACTURE.. diagnosis comorbidities") and got[1][3].startswith("raw. FRACTURE.. therapy") and got[2][3:] == ("Rest. FRACTURE.. findings results clinical course management", False)
+    assert got[3][2:4] == ("BROAD", "FRACTURE. recommendations discharge management elderly female")
+    assert len(got) == 5 and got[4][3] == " recommendations discharge management male"
+    assert queries.query_file(queries.build_queries(fields, words).filter("note_id = 1")).first()["content"] == "--- Query 1 ---\n recommendations discharge management male\n\n"
+    assert queries.single_query(fields).filter("note_id = 0").first()["query"].startswith("Diagnosis: FRACTURE.. Diagnosis: FRACTURE.. Past medical history: None.. therapy")
+
+
+def test_prompts(spark):
+    n = spark.createDataFrame([(0, note("M, 1 AA", prognosis="Admitted to ward")), (1, note("M, 1 AA"))], "note_id long, text string")
+    chunks = spark.createDataFrame([(5, "g", 2, 3, "excerpt")], "chunk_id long, doc_id string, page_start int, page_end int, text string")
+    final = spark.createDataFrame([(0, 1, 5)], "note_id long, rank int, chunk_id long")
+    got = {r["note_id"]: r for r in prompt.build_prompts(n, notes.fields(n), final, chunks).collect()}
+    assert (got[0]["template"], got[1]["template"]) == ("admission", "discharge")
+    assert got[0]["prompt"].startswith("ROLE:\n") and "[E1] (g, p.2-3)\n\nexcerpt\n" in got[0]["prompt"] and "[E1]" not in got[1]["prompt"]
+    own = prompt.Template("r", "t", "u")
+    assert prompt.build_prompts(n, notes.fields(n), final, chunks, own, own).filter("note_id = 1").first()["prompt"].endswith("GUIDELINE EXCERPTS:\n\nt\nu")
+    out = spark.createDataFrame([(0, "x"), (1, "y")], "note_id long, output string")
+    refs = spark.createDataFrame([(0, "said")], "note_id long, reference string")
+    assert sorted(r["output"] for r in prompt.append_reference(out, refs).collect()) == ["x" + prompt.BANNER + "said", "y"]
+    assert sorted(r["output"] for r in prompt.append_reference(out, refs, retrieval_only=True).collect()) == ["x", "y"]
+    built = n.limit(1).select(notes.build_note(*[F.lit(x) for x in ("F", " 30 ", "p", " ", "e", "d", "g", "o")])).first()[0]
+    assert built == "Femmina, 30\n\nAnamnesi: \n- Patologia Prossima:\np\n\nEsame Obiettivo:\ne\n\nDiario Clinico: \nd\n\nDiagnosi: g\n\nPrognosi: o"
