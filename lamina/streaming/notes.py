@@ -10,7 +10,7 @@ from ..operators.notes import fields
 
 def stream_notes(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """(note_id, text) of .txt files as they come into a folder; note_id is a hash of the file's name."""
-    files = spark.readStream.option("pathGlobFilter", "*.txt").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch).text(folder)
+    files = spark.readStream.option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return files.select(F.xxhash64("_metadata.file_name").alias("note_id"), F.col("value").alias("text"))
 
 
