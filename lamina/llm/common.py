@@ -73,6 +73,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """name, or with as many underscores behind as make it differ from all that are taken."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: str) -> DataFrame:
     """Arrow batches of df through f, which returns columns by name; the columns' types follow the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

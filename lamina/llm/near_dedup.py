@@ -6,9 +6,10 @@
 2. Equal sets collapse into a class with the smallest doc_id as representative.
 3. Representatives that share a band key are joined to the smallest of them: an edge per member, never all pairs. The
    components of these edges hold every pair that any band proposes.
-4. Each component is searched for links in one task, or, where it is large, in tasks for pairs of its blocks. A search
-   goes breadth first from a document to the unvisited ones whose size and sketch allow the similarity, and confirms on
-   full sets; it returns a spanning forest, so its output grows with the members and not with their pairs.
+4. Each component is searched for links in one task. In a large one, all members are first compared with its smallest;
+   those that don't link with it are then searched against all, in tasks for pairs of blocks. A search goes breadth first
+   from a document to the unvisited ones whose size and sketch allow the similarity, and confirms on full sets; it
+   returns a spanning forest, so its output grows with the members and not with their pairs.
 5. The components of the forests' edges are the result.
 
 A pair at the threshold shares no band with a chance of (1 - 0.85 ** ROWS) ** BANDS, 2e-7 here.
@@ -98,18 +99,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     return per_batch(docs, sign, "doc_id long, n_shingles long, a long, b long, bands array<long>, sketch binary")
 
 
-def search(ids: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest of the links among documents: (id, id of its tree's root)."""
+def search(ids: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, tied: np.ndarray | None = None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents: (id, id of its tree's root). Those tied are known to be in one tree."""
     sizes = np.array([len(s) for s in sets])
     every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     starts, mark, open_, edges = ends - sizes, np.zeros(len(every), bool), np.ones(len(ids), bool), []
-    for root in np.argsort(ids, kind="stable").tolist():
-        if not open_[root]:
+    known = [] if tied is None else np.flatnonzero(tied).tolist()
+    open_[known] = False
+    for root in [*known[:1], *np.argsort(ids, kind="stable").tolist()]:
+        if not open_[root] and not known:
             continue
         open_[root] = False
-        queue = [root]
-        while queue:
+        queue, known = known or [root], []
+        while queue and open_.any():
             i = queue.pop()
             n = sizes[i]
             may = np.flatnonzero(open_ & (100 * np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)))
@@ -152,22 +155,56 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
-def links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) edges of spanning forests. members: (doc_id, component, n_shingles, sketch), a row per representative."""
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("component").agg(blocks.alias("k"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), "k").cast("int"))
-    joint = docs.join(placed.select("doc_id", "component", "k", "block", "sketch").hint("shuffle_hash"), "doc_id")
+def linked_to_lead(docs: DataFrame, large: DataFrame) -> DataFrame:
+    """large: (doc_id, component, sketch, lead). Adds linked: whether the full set links with that of the lead, which counts as linked."""
+    own = docs.join(large.hint("shuffle_hash"), "doc_id")
+    leads = docs.join(large.select(F.col("lead").alias("doc_id"), F.col("component").alias("led")).distinct().hint("shuffle_hash"), "doc_id")
+    leads = stored(leads.dropDuplicates(["led"]).select("led", F.col("text").alias("lead_text")), "leads")
+
+    def compare(batch: pa.RecordBatch) -> dict:
+        out, last, lead = [], None, np.zeros(0, np.uint64)
+        for text, other in zip(raw(batch.column(1)), raw(batch.column(5)), strict=True):
+            if other != last:
+                last, lead = other, shingle_set(other)
+            s = shingle_set(text)
+            both = len(np.intersect1d(s, lead, assume_unique=True))
+            out.append(bool(len(s)) and 100 * both >= THRESHOLD * (len(s) + len(lead) - both))
+        return {name: batch.column(i) for i, name in ((0, "doc_id"), (2, "component"), (3, "sketch"), (4, "lead"))} | {"linked": out}
+
+    pairs = own.join(leads, own["component"] == leads["led"]).select("doc_id", "text", "component", "sketch", "lead", "lead_text")
+    return per_batch(pairs, compare, "doc_id long, component long, sketch binary, lead long, linked boolean")
+
+
+def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b) edges of spanning forests. docs: (doc_id, text), a row per doc_id; members: (doc_id, component, n_shingles, sketch), a row per representative."""
+    blocks = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
+    sizes = stored(members.groupBy("component").agg(blocks().alias("k"), F.min("doc_id").alias("lead")), "sizes")
+    small = members.join(sizes.filter("k = 1"), "component").select("doc_id", "component", "sketch", F.lit(False).alias("tied"), F.lit(1).alias("free"), F.lit(0).alias("held"))
+    if sizes.filter("k > 1").isEmpty():
+        placed, edges = small, None
+    else:
+        large = members.join(sizes.filter("k > 1"), "component")
+        checked = stored(linked_to_lead(docs, large.select("doc_id", "component", "sketch", "lead")), "checked")
+        edges = checked.filter("linked and doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+        # only those that the lead leaves out are still to be compared: with all, in tasks for pairs of blocks of which one holds them
+        sums = checked.join(members.select("doc_id", "n_shingles"), "doc_id").groupBy("component", "linked").agg(blocks().alias("k"))
+        sums = sums.groupBy("component").agg(F.max(F.when(~F.col("linked"), F.col("k"))).alias("free"), F.max(F.when(F.col("linked"), F.col("k"))).alias("held")).filter("free is not null")
+        rest = checked.join(stored(sums, "blocks"), "component").select("doc_id", "component", "sketch", F.col("linked").alias("tied"), "free", "held")
+        placed = small.unionByName(rest)
+    salt = F.xxhash64("doc_id")
+    placed = placed.withColumn("block", F.when(F.col("tied"), F.col("free") + F.pmod(salt, "held")).otherwise(F.pmod(salt, "free")).cast("int"))
+    joint = docs.join(placed.hint("shuffle_hash"), "doc_id")
 
     def spread(batch: pa.RecordBatch) -> dict:
         sets = [int64(shingle_set(t)) for t in raw(batch.column(1))]
-        keep = {name: batch.column(i) for i, name in ((0, "doc_id"), (2, "component"), (3, "k"), (4, "block"), (5, "sketch"))}
-        return keep | {"shingles": lists(np.concatenate(sets), [len(s) for s in sets], pa.int64())}
+        keep = {name: batch.column(i) for i, name in ((0, "doc_id"), (2, "component"), (3, "tied"), (4, "free"), (5, "held"), (6, "block"), (7, "sketch"))}
+        return keep | {"shingles": lists(np.concatenate(sets) if sets else np.zeros(0, np.int64), [len(s) for s in sets], pa.int64())}
 
-    sets = per_batch(joint.select("doc_id", "text", "component", "k", "block", "sketch"), spread, "doc_id long, component long, k int, block int, sketch binary, shingles array<long>")
+    sets = per_batch(joint.select("doc_id", "text", "component", "tied", "free", "held", "block", "sketch"), spread, "doc_id long, component long, tied boolean, free int, held int, block int, sketch binary, shingles array<long>")
     # a component of one block is one task; of more, each pair of blocks is one, which also sees the links within both
-    others = F.when(F.col("k") == 1, F.array("block")).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("block")))
-    dealt = sets.withColumn("other", F.explode(others)).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "sketch", "shingles")
+    whole = F.col("free") + F.col("held")
+    others = F.when(whole == 1, F.array("block")).when(F.col("tied"), F.sequence(F.lit(0), F.col("free") - 1)).otherwise(F.filter(F.sequence(F.lit(0), whole - 1), lambda x: x != F.col("block")))
+    dealt = sets.withColumn("other", F.explode(others)).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "tied", "sketch", "shingles")
     dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +216,10 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
         for group in _groups(batches, 3):
             if sum(map(len, group)) > 1:
                 ids = np.concatenate([g.column(3).to_numpy() for g in group])
-                sketches = np.frombuffer(b"".join(x for g in group for x in g.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
-                sets = [v.values.to_numpy(zero_copy_only=False) for g in group for v in g.column(5)]
-                for x, y in search(ids, sets, sketches):
+                tied = np.concatenate([g.column(4).to_numpy(zero_copy_only=False) for g in group])
+                sketches = np.frombuffer(b"".join(x for g in group for x in g.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
+                sets = [v.values.to_numpy(zero_copy_only=False) for g in group for v in g.column(6)]
+                for x, y in search(ids, sets, sketches, tied):
                     a.append(x)
                     b.append(y)
             if len(a) > 5000:
@@ -189,14 +227,15 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
                 a, b = [], []
         yield out()
 
-    return dealt.mapInArrow(find, "a long, b long")
+    found = dealt.mapInArrow(find, "a long, b long")
+    return found.unionByName(edges) if edges is not None else found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs, columns doc_id and text being used.
 
-    Null and empty texts have no shingles and link with nothing. Every row is judged by its own text, also where a
-    doc_id repeats. A null doc_id names no component: such a row goes with the documents it equals, or, if there are
+    Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id share a component if their
+    texts are equal; with other texts each goes with the documents that it equals. A null doc_id names no component: such a row goes with the documents it equals, or, if there are
     none, has a null component_id and is kept. An empty table gives no rows.
     """
     tune(docs.sparkSession)
@@ -222,3 +261,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB's SQL, for tables of unrepeated doc_ids and moderate groups: it forms all pairs that share a shingle."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+, s AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - {SHINGLE - 1}, 1))) AS i FROM w WHERE len(ws) > 0))
+, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+, b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s AS x JOIN s AS y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)
+, l AS (SELECT a, b FROM b JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * m >= {THRESHOLD} * (x.n + y.n - m))
+, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)
+, r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, w.doc_id = c.c AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) AS c ON c.doc_id = w.doc_id
+"""

@@ -2,8 +2,9 @@
 
 On a bounded sample of the vectors: the exact neighbour graph, cut into parts of equal size by recursive spectral
 bisection, then a small classifier that learns each sampled vector's distribution of parts among itself and its
-neighbours. Every row of the table is put into its most probable part; a query searches the PROBES most probable ones and
-reranks by the exact cosine. Equal vectors are one candidate that carries its least ids: more of them than are asked for
+neighbours. Every row of the table is put into its most probable part; a query searches the most probable ones and
+reranks by the exact cosine. How many it searches is measured on a second sample, as the fewest that hold RECALL of the
+true neighbours there: few where vectors form clusters, most of them where they don't. Equal vectors are one candidate that carries its least ids: more of them than are asked for
 can't enter a result, as ties go to smaller ids.
 """
 
@@ -18,16 +19,19 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, stored, table, tune
 
-#: Vectors fitted on, parts, parts that a query searches, neighbours in the graph.
-SAMPLE, PARTS, PROBES, DEGREE = 4096, 16, 14, 10
+#: Vectors fitted on (as many more tell the number of probes), parts, neighbours in the graph.
+SAMPLE, PARTS, DEGREE = 4096, 16, 10
+#: Share of true neighbours that the searched parts must hold, as measured on vectors that were not fitted on.
+RECALL = 0.95
 #: Rows of a task: candidates and queries.
 BLOCK, QUERIES = 16_384, 2_048
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    k, out = min(k, len(x) - 1), []
-    for i in range(0, len(x), 512):
-        s = x[i : i + 512] @ x.T
+def neighbour_graph(x: np.ndarray, k: int, rows: int | None = None) -> np.ndarray:
+    """The k nearest of each of the first rows, its own left out."""
+    k, out, rows = min(k, len(x) - 1), [], len(x) if rows is None else rows
+    for i in range(0, rows, 512):
+        s = x[i : min(i + 512, rows)] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         out.append(np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(s), 0), np.int64))
     return np.concatenate(out)
@@ -95,12 +99,28 @@ def fit(sample: np.ndarray, parts: int = PARTS) -> Router:
     return Router(sample, target / target.sum(1, keepdims=True), rng=rng)
 
 
+def probes_for(router: Router, other: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """The fewest parts whose search finds this share of the k nearest among other unit rows."""
+    n = min(len(other), 1024)
+    near = neighbour_graph(other.astype(np.float32), k, n)
+    z = router.logits(other)
+    rank = np.argsort(np.argsort(-z[:n], 1, kind="stable"), 1)
+    found = np.take_along_axis(rank, z.argmax(1)[near], 1).ravel()
+    reached = np.cumsum(np.bincount(found, minlength=z.shape[1])) / max(1, len(found))
+    return int(np.searchsorted(reached, recall)) + 1
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows of length 1; in double precision, scaled first so that no square overflows."""
     v = v / np.abs(v).max(1, keepdims=True)
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine by a bit, so that no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return np.stack([v.values.to_numpy(zero_copy_only=False) for v in column]).astype(np.float64) if len(column) else np.zeros((0, 1))
 
@@ -134,7 +154,7 @@ def routed(df: DataFrame, ident: str, kind: str, router: Router, probes: int) ->
     return per_batch(df.select(ident, "embedding"), run, f"{ident} {kind}, embedding array<double>, part int")
 
 
-def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE, parts: int = PARTS, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): k nearest of each row whose vec_id is divisible by every, its own row left out.
 
     Rows that take no part are those of usable(). A repeated vec_id counts as one more candidate, but no row of the
@@ -145,10 +165,10 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE, pa
     tune(spark)
     v = stored(usable(vectors), "vectors")
     different = stored(distinct_vectors(v, k + 1), "distinct")
-    n = different.count()
-    probes = parts if n < 20 * k * parts else probes
-    some = different.orderBy(F.xxhash64("embedding")).limit(sample).select("embedding").toArrow()
-    router = fit(unit(matrix(some.column(0).combine_chunks())) if some.num_rows else np.zeros((0, 1)), parts)
+    some = different.orderBy(F.xxhash64("embedding"), "ids").limit(2 * sample).select("embedding").toArrow()
+    some = unit(matrix(some.column(0).combine_chunks())) if some.num_rows else np.zeros((0, 1))
+    router = fit(some[::2], parts)
+    probes = parts if len(some) < 40 * k * parts else probes_for(router, some[1::2], k, recall)  # too few to measure: all
 
     candidates = stored(routed(different, "ids", "array<long>", router, 1), "candidates")
     queries = stored(routed(v.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "vec_id", "long", router, probes), "queries")
@@ -190,7 +210,7 @@ class Search:
 
     def ask(self, ids: pa.Array, x: np.ndarray) -> None:
         self.queries += ids.flatten().to_pylist()
-        self.x.append(x)
+        self.x.append(scaled(x))
 
     def add(self, ids: pa.Array, x: np.ndarray) -> None:
         if not self.queries:
@@ -198,6 +218,7 @@ class Search:
         if len(self.x) > 1 or not hasattr(self, "units"):
             self.x = [np.concatenate(self.x)]
             self.units = unit(self.x[0])
+        x = scaled(x)
         near, ids, more = self.units @ unit(x).T, ids.to_pylist(), self.k + 4
         for r in range(len(near)):
             at = np.argpartition(-near[r], more)[:more] if len(ids) > more else np.arange(len(ids))

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import per_batch, raw, stored, table, tune
 from .tokens import default_vocabulary, word_ids
 
-#: Pieces that one task ranks, about.
-RANKED = 100_000
+#: Pieces of one length that one task ranks, about.
+RANKED = 20_000
 
 
 @dataclass
@@ -144,13 +144,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0)
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to stored pieces; length is from 1 to capacity, rows may repeat, and doc_id may be null.
 
-    Ranks are taken within a length and a hashed bucket, so that a length which a third of the pieces share is still
-    ranked by many tasks, and then moved by the sums of the buckets before.
+    Ranks are taken within a length and a hashed bucket, and then moved by the sums of the buckets before. A length has
+    as many buckets as its pieces ask for, so that one which a third of them share is still ranked by many tasks.
     """
-    n = cut.count()
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    buckets = max(1, -(-n // RANKED))
-    salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    shares = cut.sparkSession.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, buckets long")
+    salted = cut.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets"))
     sums = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -19,4 +19,9 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.oracle_sql(), "op8_url_filter": url_filter.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.oracle_sql(),
+    "op2_quality_rules": quality.oracle_sql(),
+    "op8_url_filter": url_filter.oracle_sql(),
+    "op10_near_dedup": near_dedup.oracle_sql(),
+}

@@ -3,7 +3,7 @@
 Features of a text, each a rate or a share so that length alone decides nothing: densities of the seed lexicon, of words
 learned from training rows and of learned word beginnings; the largest share of lexicon words near a second-person word;
 capitals, punctuation, repeated letters and letters swapped for digits or marks. Labels are learned from a bounded sample
-(MAX_TRAIN rows, the least by a hash of their ids) of the rows that are not held out; copies of a text count once. The
+(MAX_TRAIN rows, the least by a hash of their ids, of at most MAX_TRAIN_BYTES each) of the rows that are not held out; copies and near copies of a text count once. The
 trees are grown on histograms of the features' quantiles on the driver, over that sample alone; scoring is one pass over
 all texts without a shuffle.
 """
@@ -20,15 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_LIMIT, per_batch, raw, table, tune
+from .common import CACHE_LIMIT, per_batch, raw, table, tune, windows, word_hashes
 
-#: Labelled rows that may be used for fitting, and the words and beginnings that may be learned from them.
-MAX_TRAIN, MAX_LEARNED = 8_000, 600
-TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 32, 20
+#: Labelled rows that may be used for fitting, the bytes of a text beyond which it isn't used for that, and the words and beginnings that may be learned.
+MAX_TRAIN, MAX_TRAIN_BYTES, MAX_LEARNED = 8_000, 200_000, 600
+TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
+#: Least rows of a leaf, for small and for large samples.
+LEAVES = (5, 20)
 CUT = 0.7
 SEED = frozenset(b"idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns garbage filth jerk fool fools hate ugly shut kill".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine sie ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".encode().split())
 _SWAPS = bytes.maketrans(b"01345$@!7", b"oieassait")
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGES = b".,!?;:\"'()[]{}<>*_-"
 _NEAR = 5
 #: Bits of a word.
@@ -122,10 +125,11 @@ class Trees:
     """Binary classification by boosting on binned features."""
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        leaf = min(max(len(y) // 50, LEAVES[0]), LEAVES[1])
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         self.edges = [np.unique(np.concatenate([e, [0.0]])) for e in self.edges]
         bins = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)], 1)
-        width = bins.max() + 1
+        width = bins.max(initial=0) + 1
         share = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.5
         self.base, self.trees = math.log(share / (1 - share)), []
         f = np.full(len(y), self.base)
@@ -138,10 +142,10 @@ class Trees:
                 for k in range(2**level):
                     own = np.flatnonzero(node == k)
                     feature, cut = 0, width
-                    if len(own) >= 2 * LEAF:
+                    if len(own) >= 2 * leaf:
                         sums = [np.bincount(flat[own].ravel(), np.repeat(v[own], bins.shape[1]), width * bins.shape[1]).reshape(-1, width).cumsum(1) for v in (g, h, np.ones(len(y)))]
                         (gl, hl, nl), (gt, ht, nt) = sums, (s[:, -1:] for s in sums)
-                        gain = np.where((nl >= LEAF) & (nt - nl >= LEAF), gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1), 0)
+                        gain = np.where((nl >= leaf) & (nt - nl >= leaf), gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1), 0)
                         if gain.max() > 1e-6:
                             feature, cut = (int(v) for v in np.unravel_index(gain.argmax(), gain.shape))
                     tree.append((feature, cut))
@@ -210,15 +214,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     """Texts and labels of at most so many labelled rows that are not held out. The ids chosen are few enough to broadcast."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").collect()  # MAX_TRAIN rows at most, as ids count once
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").collect()  # MAX_TRAIN rows at most, as ids count once
     seen: dict[bytes, int] = {}
     for r in rows:
         text = r["text"].encode()
         seen[text] = max(seen.get(text, 0), int(r["toxic"]))
-    order = sorted(seen, key=lambda t: zlib.crc32(t))  # the same whatever order the rows came in
+    order = without_near_copies(sorted(seen, key=lambda t: (zlib.crc32(t), t)))  # the same whatever order the rows came in
     return order, np.array([seen[t] for t in order], np.int64)
 
 
+def without_near_copies(texts: list[bytes]) -> list[bytes]:
+    """Texts that share none of four MinHashes of 5-word shingles with one before: else the words of one that is much copied look toxic, or clean, by themselves."""
+    met: set[tuple[int, int]] = set()
+    out = []
+    for text in texts:
+        a = word_hashes(text.split())
+        s = windows(a, min(5, len(a))) if len(a) else a
+        own = {(k, int((s * m).min())) for k, m in enumerate(_MULTIPLIERS)} if len(s) else set()
+        if not own & met:
+            out.append(text)
+        met |= own
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     return Model().fit(*training_rows(docs, labels, most))
 
