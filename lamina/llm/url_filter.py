@@ -64,7 +64,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     rank = F.struct((-F.length("rule")).alias("a"), (-F.length("rule_host")).alias("b"), F.col("rule"), F.col("verdict"))
     # written first, so that the join below stands on plain exchanges, which adaptive execution can split at a hot url
     best = stored(sure.groupBy("host", "path").agg(F.min(rank).alias("best")).select("host", "path", "best.rule", "best.verdict"), "verdicts")
-    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return parts.join(best.hint("shuffle_hash"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
