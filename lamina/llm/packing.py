@@ -22,7 +22,7 @@ from .common import per_batch, raw, stored, table, tune
 from .tokens import default_vocabulary, word_ids
 
 #: Pieces of one length that one task ranks, about.
-RANKED = 20_000
+RANKED = 2_000
 
 
 @dataclass
