@@ -1,7 +1,8 @@
 """Quality rules with thresholds learned per language and source from mergeable sketches.
 
-A sketch is a histogram over a fixed grid of whole-number cells, so sketches of parts merge by adding counts, the result
-doesn't depend on how rows were dealt, and a quantile is off by less than a cell. A document fails where a metric lies
+A sketch is a histogram over a fixed grid of whole numbers of PRECISION leading bits, so it has at most a few thousand
+cells however many rows it counts, sketches of parts merge by adding counts, the result doesn't depend on how rows were
+dealt, and a quantile is off by less than one part in 2 ** (PRECISION - 1). A document fails where a metric lies
 beyond its group's fence: the upper quartile and FENCE times its distance from the median, widened by a least distance,
 as groups of clean text spread little. Groups of fewer than LEAST rows take the fences of their language, and those of
 fewer, the ones over all rows.
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import per_batch, raw, stored, table, tune, windows, word_hashes
 
 REPEAT = 8
-FENCE, LEAST = 6, 50
-#: Each metric: per thousand, from the counts; and the least distance of the fence from the upper quartile, in cells.
+FENCE, LEAST, PRECISION = 6, 50, 7
+#: Each metric: per thousand or per hundred, from the counts; and the least distance of the fence from the upper quartile.
 METRICS = {
     "chars_per_word": ("(word_chars * 100) div greatest(n_words, 1)", 400),
     "symbols": ("(n_symbols * 1000) div greatest(word_chars, 1)", 60),
@@ -63,9 +64,14 @@ def measure(docs: DataFrame) -> DataFrame:
     return per_batch(slim, count, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
 
 
+def cell_of(value: str, shift: str = "shiftleft(1L, {})") -> str:
+    """SQL of a whole number's cell: its leading bits, the others being zero."""
+    return f"({value} - {value} % {shift.format(f'greatest(length(bin({value})) - {PRECISION}, 0)')})"
+
+
 def sketch(measured: DataFrame, by: list[str]) -> DataFrame:
     """(by, metric, cell, n): the histograms of each group; sketches of parts merge by summing n."""
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).alias("cell")) for m, (e, _) in METRICS.items()])).alias("x")
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(cell_of(f"({e})")).alias("cell")) for m, (e, _) in METRICS.items()])).alias("x")
     return measured.filter("n_words > 0").select(*by, cells).select(*by, "x.metric", "x.cell").groupBy(*by, "metric", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,7 +121,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_sql() -> str:
     """The same in DuckDB's SQL."""
     cell = {m: e.replace(" div ", " // ") for m, (e, _) in METRICS.items()}
-    cells = "\nUNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {e} AS cell FROM m WHERE n_words > 0" for m, e in cell.items())
+    cells = "\nUNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {cell_of(f'({e})', '(1::BIGINT << ({}))')} AS cell FROM m WHERE n_words > 0" for m, e in cell.items())
     least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v}" for m, (_, v) in METRICS.items()) + " END"
 
     def fence(name: str, by: str) -> str:

@@ -31,7 +31,7 @@ def brute_quality(rows):
         return {"chars_per_word": chars * 100 // max(n, 1), "symbols": symbols * 1000 // max(chars, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": repeat * 1000 // max(n, 1)}
 
     def fence(group, metric):
-        v = sorted(cells(m)[metric] for m in group)
+        v = sorted(x >> (k := max(x.bit_length() - quality.PRECISION, 0)) << k for x in (cells(m)[metric] for m in group))
         at = lambda q: v[math.ceil(len(v) * q / 100) - 1]
         return at(75) + max(quality.FENCE * (at(75) - at(50)), quality.METRICS[metric][1])
 
