@@ -32,7 +32,7 @@ SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 40, 7, 1024
 #: Percent. The sketch's estimate errs with a deviation of about 0.03 near the threshold; pairs far below are not confirmed.
 THRESHOLD, SCREEN = 85, 0.68
 #: Documents and shingles of a block.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 18
 
 _rng = np.random.default_rng(20_240_501)
 _MUL = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -177,6 +177,8 @@ def linked_to_lead(docs: DataFrame, large: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(a, b) edges of spanning forests. docs: (doc_id, text), a row per doc_id; members: (doc_id, component, n_shingles, sketch), a row per representative."""
+    # all that follows needs the texts of members only: the corpus is shuffled once
+    docs = stored(docs.join(members.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     blocks = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
     sizes = stored(members.groupBy("component").agg(blocks().alias("k"), F.min("doc_id").alias("lead")), "sizes")
     small = members.join(sizes.filter("k = 1"), "component").select("doc_id", "component", "sketch", F.lit(False).alias("tied"), F.lit(1).alias("free"), F.lit(0).alias("held"))
