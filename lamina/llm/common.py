@@ -16,9 +16,9 @@ from ..session import ship
 #: ASCII white space; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a worker's word cache; a full one is emptied, so a worker's memory is bounded.
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 300_000
 #: Rows and bytes of an Arrow batch: texts may be long, so both are kept small.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _scratch: list[str] = []
