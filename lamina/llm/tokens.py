@@ -8,7 +8,8 @@ import os
 import numpy as np
 import regex
 
-from .common import CACHE_LIMIT
+#: Entries of a worker's caches of words and of their parts; a full one is emptied.
+CACHED_WORDS = 600_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -50,14 +51,14 @@ class WordIds(dict):
 
     def of_part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= CACHE_LIMIT:
+            if len(self.parts) >= CACHED_WORDS:
                 self.parts.clear()
             found = self.library.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))
             ids = self.parts[part] = np.array([t.id for t in found], self.kind).tobytes()
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_LIMIT:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         text = word.decode("utf-8", "replace")
         if max(text) <= "\xff" and len(text) < 200 and not (b"<|" in word and any(s in word for s in self.special)):
