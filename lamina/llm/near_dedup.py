@@ -12,12 +12,14 @@
    returns a spanning forest, so its output grows with the members and not with their pairs.
 5. The components of the forests' edges are the result.
 
-A pair at the threshold shares no band with a chance of (1 - 0.85 ** ROWS) ** BANDS, 2e-7 here.
+A pair at the threshold t shares no band with a chance of (1 - t ** rows) ** bands, 2e-7 for each of the PLANS.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,36 @@ from .components import connected_components
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 40, 7, 1024
 #: Percent. The sketch's estimate errs with a deviation of about 0.03 near the threshold; pairs far below are not confirmed.
 THRESHOLD, SCREEN = 85, 0.68
+#: The threshold of the pipeline's stage.
+STAGE_THRESHOLD = 80
 #: Documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 18
 
-_rng = np.random.default_rng(20_240_501)
-_MUL = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+
+@dataclass(frozen=True)
+class Plan:
+    """A threshold in percent, and the bands, samples of a band and screen that go with it."""
+
+    percent: int
+    bands: int
+    rows: int
+    screen: float
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+
+PLAN = Plan(THRESHOLD, BANDS, ROWS, SCREEN)
+PLANS = {p.percent: p for p in (PLAN, Plan(STAGE_THRESHOLD, 51, 6, 0.62))}
+
+
+@cache
+def _family(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of as many hash functions."""
+    rng = np.random.default_rng(20_240_501)
+    mul = (rng.integers(0, 1 << 31, samples, np.uint32) << np.uint32(1)) | np.uint32(1)
+    return mul, rng.integers(0, 1 << 32, samples, np.uint32)
 
 
 def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -47,19 +73,20 @@ def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(windows(a, k)) if len(a) >= k else joined(windows(a, len(a)), np.full(1, len(a), np.uint64))
 
 
-def minhash(s: np.ndarray) -> np.ndarray:
+def minhash(s: np.ndarray, samples: int = PLAN.samples) -> np.ndarray:
+    mul, add = _family(samples)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(_MUL), 0xFFFFFFFF, np.uint32)
+    out = np.full(samples, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 512):
-        np.minimum(out, (x[i : i + 512, None] * _MUL + _ADD).min(0), out)
+        np.minimum(out, (x[i : i + 512, None] * mul + add).min(0), out)
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) keys of (documents, samples) MinHashes."""
-    rows = m.astype(np.uint64).reshape(len(m), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
-    for r in range(ROWS):
+def band_keys(m: np.ndarray, plan: Plan = PLAN) -> np.ndarray:
+    """(documents, bands) keys of (documents, samples) MinHashes."""
+    rows = m.astype(np.uint64).reshape(len(m), plan.bands, plan.rows)
+    key = np.broadcast_to(np.arange(plan.bands, dtype=np.uint64), rows.shape[:2])
+    for r in range(plan.rows):
         key = joined(key.copy(), rows[:, :, r])
     return key
 
@@ -72,16 +99,16 @@ def odd_sketches(m: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits((hits & 1).astype(np.uint8).reshape(n, bits), axis=1)
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
+def sketch_similarity(a: np.ndarray, b: np.ndarray, samples: int = PLAN.samples) -> np.ndarray:
     """Estimates of the Jaccard similarity from the XOR's ones."""
     bits = a.shape[-1] * 8
     odd = np.minimum(np.bitwise_count(a ^ b).sum(-1) / bits, 0.4999)
     return 1 + bits / (4 * samples) * np.log(1 - 2 * odd)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     def sign(batch: pa.RecordBatch) -> dict:
-        sizes, a, b, hashes = [], [], [], np.zeros((len(batch), BANDS * ROWS), np.uint32)
+        sizes, a, b, hashes = [], [], [], np.zeros((len(batch), plan.samples), np.uint32)
         for i, text in enumerate(raw(batch.column(1))):
             s = shingle_set(text)
             sizes.append(len(s))
@@ -89,17 +116,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 a.append(int.from_bytes(digest[:8], "little", signed=True))
                 b.append(int.from_bytes(digest[8:], "little", signed=True))
-                hashes[i] = minhash(s)
+                hashes[i] = minhash(s, plan.samples)
             else:
                 a.append(None)
                 b.append(None)
         sketch = odd_sketches(hashes)
-        return {"doc_id": batch.column(0), "n_shingles": sizes, "a": a, "b": b, "bands": lists(int64(band_keys(hashes).ravel()), np.full(len(batch), BANDS), pa.int64()), "sketch": [x.tobytes() for x in sketch]}
+        return {"doc_id": batch.column(0), "n_shingles": sizes, "a": a, "b": b, "bands": lists(int64(band_keys(hashes, plan).ravel()), np.full(len(batch), plan.bands), pa.int64()), "sketch": [x.tobytes() for x in sketch]}
 
     return per_batch(docs, sign, "doc_id long, n_shingles long, a long, b long, bands array<long>, sketch binary")
 
 
-def search(ids: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, tied: np.ndarray | None = None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+def search(ids: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, tied: np.ndarray | None = None, plan: Plan = PLAN) -> list[tuple[int, int]]:
     """A spanning forest of the links among documents: (id, id of its tree's root). Those tied are known to be in one tree."""
     sizes = np.array([len(s) for s in sets])
     every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
@@ -115,9 +142,9 @@ def search(ids: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, tied:
         while queue and open_.any():
             i = queue.pop()
             n = sizes[i]
-            may = np.flatnonzero(open_ & (100 * np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)))
+            may = np.flatnonzero(open_ & (100 * np.minimum(sizes, n) >= plan.percent * np.maximum(sizes, n)))
             if len(may):
-                may = may[sketch_similarity(sketches[may], sketches[i]) >= SCREEN]
+                may = may[sketch_similarity(sketches[may], sketches[i], plan.samples) >= plan.screen]
             if not len(may):
                 continue
             own = inverse[starts[i] : ends[i]]
@@ -127,7 +154,7 @@ def search(ids: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, tied:
             else:
                 both = np.add.reduceat(mark[inverse].astype(np.int64), starts)[may]
             mark[own] = False
-            for j in may[100 * both >= threshold * (n + sizes[may] - both)].tolist():
+            for j in may[100 * both >= plan.percent * (n + sizes[may] - both)].tolist():
                 open_[j] = False
                 queue.append(j)
                 edges.append((int(ids[j]), int(ids[root])))
@@ -155,7 +182,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
-def linked_to_lead(docs: DataFrame, large: DataFrame) -> DataFrame:
+def linked_to_lead(docs: DataFrame, large: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """large: (doc_id, component, sketch, lead). Adds linked: whether the full set links with that of the lead, which counts as linked."""
     own = docs.join(large.hint("shuffle_hash"), "doc_id")
     leads = docs.join(large.select(F.col("lead").alias("doc_id"), F.col("component").alias("led")).distinct().hint("shuffle_hash"), "doc_id")
@@ -168,14 +195,14 @@ def linked_to_lead(docs: DataFrame, large: DataFrame) -> DataFrame:
                 last, lead = other, shingle_set(other)
             s = shingle_set(text)
             both = len(np.intersect1d(s, lead, assume_unique=True))
-            out.append(bool(len(s)) and 100 * both >= THRESHOLD * (len(s) + len(lead) - both))
+            out.append(bool(len(s)) and 100 * both >= plan.percent * (len(s) + len(lead) - both))
         return {name: batch.column(i) for i, name in ((0, "doc_id"), (2, "component"), (3, "sketch"), (4, "lead"))} | {"linked": out}
 
     pairs = own.join(leads, own["component"] == leads["led"]).select("doc_id", "text", "component", "sketch", "lead", "lead_text")
     return per_batch(pairs, compare, "doc_id long, component long, sketch binary, lead long, linked boolean")
 
 
-def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, *, plan: Plan = PLAN) -> DataFrame:
     """(a, b) edges of spanning forests. docs: (doc_id, text), a row per doc_id; members: (doc_id, component, n_shingles, sketch), a row per representative."""
     # all that follows needs the texts of members only: the corpus is shuffled once
     docs = stored(docs.join(members.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
@@ -186,7 +213,7 @@ def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, blo
         placed, edges = small, None
     else:
         large = members.join(sizes.filter("k > 1"), "component")
-        checked = stored(linked_to_lead(docs, large.select("doc_id", "component", "sketch", "lead")), "checked")
+        checked = stored(linked_to_lead(docs, large.select("doc_id", "component", "sketch", "lead"), plan), "checked")
         edges = checked.filter("linked and doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
         # only those that the lead leaves out are still to be compared: with all, in tasks for pairs of blocks of which one holds them
         sums = checked.join(members.select("doc_id", "n_shingles"), "doc_id").groupBy("component", "linked").agg(blocks().alias("k"))
@@ -221,7 +248,7 @@ def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, blo
                 tied = np.concatenate([g.column(4).to_numpy(zero_copy_only=False) for g in group])
                 sketches = np.frombuffer(b"".join(x for g in group for x in g.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
                 sets = [v.values.to_numpy(zero_copy_only=False) for g in group for v in g.column(6)]
-                for x, y in search(ids, sets, sketches, tied):
+                for x, y in search(ids, sets, sketches, tied, plan):
                     a.append(x)
                     b.append(y)
             if len(a) > 5000:
@@ -233,16 +260,17 @@ def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, blo
     return found.unionByName(edges) if edges is not None else found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs, columns doc_id and text being used.
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs, columns doc_id and text being used. percent: one of PLANS.
 
     Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id share a component if their
     texts are equal; with other texts each goes with the documents that it equals. A null doc_id names no component: such a row goes with the documents it equals, or, if there are
     none, has a null component_id and is kept. An empty table gives no rows.
     """
+    plan = PLANS[percent]
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs, plan), "signatures")
     # results of groups are written before they are joined: the joins then stand on plain exchanges, which can be split at a hot key
     classes = stored(signed.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "sets")
     slim = stored(signed.select("doc_id", "n_shingles", "a", "b").join(classes, ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("rep")), "classes")
@@ -255,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     proposed = banded.join(leads, "band").filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     near = connected_components(proposed).select(F.col("id").alias("doc_id"), F.col("root").alias("component"))
     members = stored(first.select("doc_id", "n_shingles", "sketch").join(near, "doc_id"), "members")
-    roots = connected_components(links(docs, members)).select(F.col("id").alias("rep"), "root")
+    roots = connected_components(links(docs, members, plan=plan)).select(F.col("id").alias("rep"), "root")
 
     out = slim.join(roots, "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

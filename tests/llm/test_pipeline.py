@@ -58,3 +58,12 @@ def test_odd_rows_pass(spark, edges, nothing):
 
 def test_query(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_near_copies_from_four_fifths_on(spark):
+    docs = table(spark, LARGER, "documents").select(*corpus_pipeline.COLUMNS)
+    rows = [tuple(r) for r in docs.collect()]
+    ids, sets = [r[0] for r in rows], brute_sets(rows)
+    want, strict = ({d for d, c in zip(ids, brute_components(ids, sets, percent), strict=True) if d == c} for percent in (80, 85))
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, LARGER).collect()} == want
+    assert want < strict
