@@ -260,3 +260,12 @@ def test_prompts(spark):
     assert sorted(r["output"] for r in prompt.append_reference(out, refs, retrieval_only=True).collect()) == ["x", "y"]
     built = n.limit(1).select(notes.build_note(*[F.lit(x) for x in ("F", " 30 ", "p", " ", "e", "d", "g", "o")])).first()[0]
     assert built == "Femmina, 30\n\nAnamnesi: \n- Patologia Prossima:\np\n\nEsame Obiettivo:\ne\n\nDiario Clinico: \nd\n\nDiagnosi: g\n\nPrognosi: o"
+
+
+def test_all_learned_abbreviations_count(spark):
+    tokens = [a + b + c for a in "abcdefghijk" for b in "abcdefghijk" for c in "abcdefghijk"][:1200]
+    units = spark.createDataFrame([(" ".join(f"{t}." for t in tokens),)] * 5, "unit string")
+    known = segment.abbreviation_list(segment.learn_abbreviations(units))
+    assert sorted(known) == sorted(tokens)
+    last = f"See {max(tokens)}. Who."
+    assert values(spark, lambda c: segment.split_sentences(F.array(c), known), last) == [[last]]
