@@ -234,3 +234,17 @@ def test_urls(spark, monkeypatch, rules, most):
     found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, rules)).collect()}
     assert found == {i: brute_url(u, rules, url_filter.DEFAULT) for i, u in [*enumerate(urls), (None, URLS[9])]}
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark, rules)).count() == 0
+
+
+def test_recall_with_fewer_probes_than_parts(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((40, 16))[r.integers(0, 40, 5000)] + 0.4 * r.standard_normal((5000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    probes, routed = [], neighbours.routed
+    monkeypatch.setattr(neighbours, "routed", lambda *a: probes.append(a[-1]) or routed(*a))
+    found = {}
+    for row in neighbours.nearest(df, every=50, sample=2048).collect():
+        found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    assert 1 <= probes[1] < neighbours.PARTS
+    want = brute_nearest([(i, v.tolist()) for i, v in enumerate(x)], 50, 5)
+    assert np.mean([len(found[q] & {i for _, i in own}) / 5 for q, own in want.items()]) >= 0.9
