@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import text as fx
 from ..operators import entities, notes, prompt, quality, queries, rerank, segment, stats, vectors
+from . import pipelines
 from . import standins as v
 from .standins import strip_sql, with_views
 
@@ -499,3 +500,10 @@ view("out_v", f"SELECT note_id, prompt AS output FROM ({_prompt_sql(_final10)})"
 def append_reference(s, d):
     references = v.table(s, d, "benchmark").select(F.col("item_id").alias("note_id"), F.col("text").alias("reference"))
     return prompt.append_reference(models.generate(prompts(s, d)).select("note_id", "output"), references)
+
+
+@query("pipeline_end_to_end")
+def pipeline_end_to_end(s, d):
+    """Both programs: documents to chunks and their index, conversations to prompts over it."""
+    built = pipelines.build_index(v.pages(s, d))
+    return pipelines.answer(v.notes(s, d), built.chunks, built.vocabulary, v.gazetteer(s, d))

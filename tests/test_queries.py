@@ -36,3 +36,9 @@ def test_query(spark, duck, name):
         order = sorted(names)
         want = sorted((tuple(plain(x[names.index(c)]) for c in order) for x in r.fetchall()), key=repr)
         assert sorted((tuple(plain(x[c]) for c in order) for x in rows), key=repr) == want
+
+
+def test_end_to_end_answers_every_note(spark):
+    rows = QUERIES["pipeline_end_to_end"](spark, DATA).collect()
+    assert sorted(r["note_id"] for r in rows) == sorted(r["conv_id"] for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id").distinct().collect())
+    assert all(r["output"] == r["prompt"] for r in rows) and any("[E1] (" in r["prompt"] for r in rows)
