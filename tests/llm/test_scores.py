@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ def brute_metrics(text):
     text = text or ""
     w = WORDS(text)
     grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)} if len(w) < 3000 else set()
+    often = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(8)}
     lines = [x for x in text.split("\n") if WORDS(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines), len(lines) - len(set(lines)), len(covered)
 
@@ -28,20 +30,30 @@ def brute_quality(rows):
 
     def cells(m):
         n, chars, symbols, lines, dup, repeat = m[3:]
-        return {"chars_per_word": chars * 100 // max(n, 1), "symbols": symbols * 1000 // max(chars, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": repeat * 1000 // max(n, 1)}
+        shares = {"symbols": symbols * 10**6 // max(chars, 1), "dup_lines": dup * 10**6 // max(lines, 1), "repeats": repeat * 10**6 // max(n, 1)}
+        return shares | {"chars_per_word": chars * 100 // max(n, 1), "n_words": n, "word_chars": chars, "n_lines": lines}
 
     def fence(group, metric):
-        v = sorted(x >> (k := max(x.bit_length() - quality.PRECISION, 0)) << k for x in (cells(m)[metric] for m in group))
-        at = lambda q: v[math.ceil(len(v) * q / 100) - 1]
-        return at(75) + max(quality.FENCE * (at(75) - at(50)), quality.METRICS[metric][1])
+        def at(name, q):
+            v = sorted(x >> (k := max(x.bit_length() - quality.PRECISION, 0)) << k for x in (cells(m)[name] for m in group))
+            return v[math.ceil(len(v) * q / 100) - 1]
+
+        low, mid, high = (at(metric, q) for q in (25, 50, 75))
+        spread = max(high - mid, mid - low)
+        if metric == "chars_per_word":
+            return high + 6 * spread if spread else None
+        size, unit = {"symbols": ("word_chars", 1), "dup_lines": ("n_lines", 1), "repeats": ("n_words", 16)}[metric]
+        return high + max(6 * spread, 3 * unit * 10**6 // at(size, 50))
 
     out = []
     for m in measured:
         base = m[3] < 20 or 100 * m[8] > 30 * m[3]
-        for group in ([x for x in measured if x[1:3] == m[1:3] and x[3]], [x for x in measured if x[1] == m[1] and x[3]], [x for x in measured if x[3]]):
-            if len(group) >= quality.LEAST:
-                break
-        kept = not base and not any(cells(m)[k] > fence(group, k) for k in quality.METRICS)
+        groups = ([x for x in measured if x[1:3] == m[1:3] and x[3]], [x for x in measured if x[1] == m[1] and x[3]])
+        large = [g for g in groups if len(g) >= quality.LEAST]
+        kept = not base
+        for k in quality.METRICS if kept else ():
+            found = [f for g in large if (f := fence(g, k)) is not None] or [fence([x for x in measured if x[3]], k)]
+            kept = kept and (found[0] is None or cells(m)[k] <= found[0])
         out.append((m[0], m[3], m[4], m[5], m[7], m[8], base, kept))
     return out
 
@@ -57,6 +69,26 @@ def test_quality(spark, edges, clashing, which):
     assert found == sorted(brute_quality(rows), key=repr)
 
 
+def test_fences_follow_the_groups(spark):
+    """A rate that is usual in one source fails in another; no group's fence is a constant."""
+    r = np.random.default_rng(1)
+    said = lambda n, marks: " ".join([f"w{x}" for x in r.integers(0, 10**6, n)] + ["%"] * marks)
+    rows = [(i, said(100 + i % 40, 0), "en", "plain") for i in range(80)] + [(100 + i, said(100 + i % 40, 8 + i % 5), "en", "prices") for i in range(80)]
+    rows += [(300, said(120, 10), "en", "plain"), (301, said(120, 10), "en", "prices"), (302, said(60, 120), "en", "prices"), (303, said(120, 1), "en", "plain")]
+    out = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [out[k]["kept"] for k in (300, 301, 302, 303)] == [False, True, False, True]
+    assert all(out[i]["kept"] for i in [*range(80), *range(100, 180)])
+    assert out[0]["max_symbols"] != out[100]["max_symbols"]
+
+
+def test_fences_of_tables_differ(spark):
+    from pyspark.sql import functions as F
+
+    out = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    different = out.select(*[F.countDistinct(f"max_{m}").alias(m) for m in quality.METRICS]).first().asDict()
+    assert all(n > 1 for n in different.values()), different
+
+
 def test_quality_of_nothing_and_merged_sketches(spark, nothing):
     assert quality.quality_rules(nothing).count() == 0
     from pyspark.sql import functions as F
