@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample of the vectors: the exact neighbour graph, cut into parts of equal size by recursive spectral
-bisection, then a small classifier that learns each sampled vector's distribution of parts among itself and its
-neighbours. Every row of the table is put into its most probable part; a query searches the most probable ones and
-reranks by the exact cosine. How many it searches is measured on a second sample, as the fewest that hold RECALL of the
-true neighbours there: few where vectors form clusters, most of them where they don't. Equal vectors are one candidate that carries its least ids: more of them than are asked for
-can't enter a result, as ties go to smaller ids.
+bisection, then small classifiers, one for each depth of the bisection, that learn each sampled vector's distribution of
+parts among itself and its neighbours. A second sample, not fitted on, tells for each depth how many of the most probable
+parts a query must search to find RECALL of its true neighbours (by the lower bound of that share, so that few measured
+ones ask for more parts), and the depth that searches least is taken: many small parts where vectors form clusters, few
+where they don't. Parts grow in number with the sample, and so with the table, up to MAX_PARTS. Every row of the table is
+put into its most probable part; a query searches its most probable ones and reranks by the exact cosine. Equal vectors
+are one candidate that carries its least ids: more of them than are asked for can't enter a result, as ties go to smaller
+ids.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, stored, table, tune
 
-#: Vectors fitted on (as many more tell the number of probes), parts, neighbours in the graph.
-SAMPLE, PARTS, DEGREE = 4096, 16, 10
-#: Share of true neighbours that the searched parts must hold, as measured on vectors that were not fitted on.
+#: Vectors fitted on and vectors measured on at most, least of the fitted ones in a part, parts at most, neighbours in the graph.
+SAMPLE, MEASURED, PER_PART, MAX_PARTS, DEGREE = 16_384, 4_096, 32, 256, 10
+#: Share of true neighbours that the searched parts must hold.
 RECALL = 0.95
+#: What a query's copy to one more part costs, as a share of a search through the whole table.
+COPY = 0.0005
 #: Rows of a task: candidates and queries.
 BLOCK, QUERIES = 16_384, 2_048
 
@@ -86,28 +91,35 @@ class Router:
         return np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
 
-def fit(sample: np.ndarray, parts: int = PARTS) -> Router:
-    """sample: unit rows."""
+def fit(sample: np.ndarray, other: np.ndarray, k: int, recall: float = RECALL, most: int = MAX_PARTS) -> tuple[Router, int, int]:
+    """The router that searches least, how many parts it has and how many a query searches. sample, other: unit rows; fewer than 4 * PER_PART of the first stay in one part."""
     rng = np.random.default_rng(11)
-    if not len(sample):
-        return Router(np.zeros((1, 1)), np.ones((1, 1)), steps=0)
-    graph = neighbour_graph(sample.astype(np.float32), DEGREE)
-    part = balanced_parts(graph, parts, rng)
-    target = np.zeros((len(sample), part.max() + 1))
-    np.add.at(target, (np.arange(len(sample)), part), 1 + graph.shape[1])
-    np.add.at(target, (np.repeat(np.arange(len(sample)), graph.shape[1]), part[graph.ravel()]), 1)
-    return Router(sample, target / target.sum(1, keepdims=True), rng=rng)
-
-
-def probes_for(router: Router, other: np.ndarray, k: int, recall: float = RECALL) -> int:
-    """The fewest parts whose search finds this share of the k nearest among other unit rows."""
-    n = min(len(other), 1024)
-    near = neighbour_graph(other.astype(np.float32), k, n)
+    best = (1.0, Router(np.zeros((1, max(1, sample.shape[1]))), np.ones((1, 1)), steps=0), 1, 1)
+    depth = int(np.log2(max(1, min(most, len(sample) // PER_PART))))
+    if depth >= 2 and len(other) > k:
+        graph = neighbour_graph(sample.astype(np.float32), DEGREE)
+        finest = balanced_parts(graph, 2**depth, rng)
+        n = min(len(other), 1024)
+        near = neighbour_graph(other.astype(np.float32), k, n)
+        for up in range(depth - 2, -1, -2):
+            part = finest >> up
+            target = np.zeros((len(sample), part.max() + 1))
+            np.add.at(target, (np.arange(len(sample)), part), 1 + graph.shape[1])
+            np.add.at(target, (np.repeat(np.arange(len(sample)), graph.shape[1]), part[graph.ravel()]), 1)
+            router = Router(sample, target / target.sum(1, keepdims=True), rng=rng)
+            probes = probes_for(router, other, near, recall)
+            best = min(best, (probes / target.shape[1] + COPY * probes, router, target.shape[1], probes), key=lambda b: b[0])
+    return best[1:]
+
+
+def probes_for(router: Router, other: np.ndarray, near: np.ndarray, recall: float = RECALL) -> int:
+    """The fewest parts whose search finds, by a lower bound of two deviations, this share of near: the neighbours of the first of other unit rows among all of these."""
     z = router.logits(other)
-    rank = np.argsort(np.argsort(-z[:n], 1, kind="stable"), 1)
+    rank = np.argsort(np.argsort(-z[: len(near)], 1, kind="stable"), 1)
     found = np.take_along_axis(rank, z.argmax(1)[near], 1).ravel()
     reached = np.cumsum(np.bincount(found, minlength=z.shape[1])) / max(1, len(found))
-    return int(np.searchsorted(reached, recall)) + 1
+    sure = reached - 2 * np.sqrt(reached * (1 - reached) / max(1, len(found)))
+    return min(int(np.searchsorted(sure, recall)) + 1, z.shape[1])
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -154,21 +166,21 @@ def routed(df: DataFrame, ident: str, kind: str, router: Router, probes: int) ->
     return per_batch(df.select(ident, "embedding"), run, f"{ident} {kind}, embedding array<double>, part int")
 
 
-def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
+def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE, most: int = MAX_PARTS, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): k nearest of each row whose vec_id is divisible by every, its own row left out.
 
     Rows that take no part are those of usable(). A repeated vec_id counts as one more candidate, but no row of the
-    query's own id is. Fewer than k candidates: all that the searched parts hold; where all parts together hold too few,
-    every part is searched. An empty table gives no rows.
+    query's own id is. Fewer than k candidates: all that the searched parts hold. Candidates of equal scores, whether
+    their vectors are equal or not, go by their ids. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     tune(spark)
     v = stored(usable(vectors), "vectors")
     different = stored(distinct_vectors(v, k + 1), "distinct")
-    some = different.orderBy(F.xxhash64("embedding"), "ids").limit(2 * sample).select("embedding").toArrow()
+    some = different.orderBy(F.xxhash64("embedding"), "ids").limit(sample + MEASURED).select("embedding").toArrow()
     some = unit(matrix(some.column(0).combine_chunks())) if some.num_rows else np.zeros((0, 1))
-    router = fit(some[::2], parts)
-    probes = parts if len(some) < 40 * k * parts else probes_for(router, some[1::2], k, recall)  # too few to measure: all
+    measured = min(MEASURED, len(some) // 2)
+    router, _, probes = fit(some[measured:], some[:measured], k, recall, most)
 
     candidates = stored(routed(different, "ids", "array<long>", router, 1), "candidates")
     queries = stored(routed(v.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "vec_id", "long", router, probes), "queries")
@@ -206,7 +218,7 @@ class Search:
     """The best candidates of one block so far, for each of its queries."""
 
     def __init__(self, key: tuple, k: int):
-        self.key, self.k, self.queries, self.x, self.best = key, k, [], [], {}
+        self.key, self.k, self.queries, self.x, self.best, self.least = key, k, [], [], {}, np.zeros(0)
 
     def ask(self, ids: pa.Array, x: np.ndarray) -> None:
         self.queries += ids.flatten().to_pylist()
@@ -215,19 +227,25 @@ class Search:
     def add(self, ids: pa.Array, x: np.ndarray) -> None:
         if not self.queries:
             return
-        if len(self.x) > 1 or not hasattr(self, "units"):
+        if len(self.least) < len(self.queries):
             self.x = [np.concatenate(self.x)]
-            self.units = unit(self.x[0])
-        x = scaled(x)
-        near, ids, more = self.units @ unit(x).T, ids.to_pylist(), self.k + 4
-        for r in range(len(near)):
-            at = np.argpartition(-near[r], more)[:more] if len(ids) > more else np.arange(len(ids))
+            self.units, self.least = unit(self.x[0]), np.full(len(self.queries), -np.inf)
+        x, more = scaled(x), self.k + 1
+        error = (x.shape[1] + 8) * 4e-16  # of a sum of products: what is nearer than this is told apart by the exact score alone
+        near, ids = self.units @ unit(x).T, ids.to_pylist()
+        may = near >= self.least[:, None] - error
+        for r in np.flatnonzero(may.any(1)).tolist():
+            at = np.flatnonzero(may[r])
+            if len(at) > more:
+                at = at[near[r, at] >= np.partition(near[r, at], -more)[-more] - 2 * error]
             # the same sum whatever the block's shape, so that ties are ties
             q, c = self.x[0][r], x[at]
             score = (c * q).sum(1) / np.sqrt((c * c).sum(1) * (q * q).sum())
             own = self.queries[r]
             found = self.best.get(r, []) + [(-s, i) for s, j in zip(score.tolist(), at.tolist(), strict=True) for i in ids[j] if i != own]
-            self.best[r] = sorted(found)[: self.k]
+            best = self.best[r] = sorted(found)[: self.k]
+            if len(best) == self.k:
+                self.least[r] = -best[-1][0]
 
     def result(self) -> pa.RecordBatch:
         rows = [(self.queries[r], i, -s) for r, found in self.best.items() for s, i in found]

@@ -166,21 +166,51 @@ def test_neighbours_of_few(spark):
     assert neighbours.nearest(few.limit(1), every=50).count() == 0 and neighbours.nearest(few.limit(0), every=50).count() == 0
 
 
-def test_recall_of_neighbours_and_balance(spark):
+def test_equal_scores_go_by_ids(spark):
+    """Rescaled vectors have equal cosines to the last bit, equal ones are one candidate; both come in the order of their ids, in whatever batches."""
+    r = np.random.default_rng(9)
+    q, b, c = (r.standard_normal(16) for _ in range(3))
+    rows = [(0, q)] + [(j, b * 2.0 ** (j % 60 - 30)) for j in range(1, 700)] + [(700 + j, b) for j in range(1, 40)] + [(5000 + j, c) for j in range(40)]
+    near = b if b @ q / np.sqrt(b @ b) > c @ q / np.sqrt(c @ c) else c
+    rows += [(50, near * 4)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows if i != 50] + [(50, (near * 4).tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for x in neighbours.nearest(df, every=50).collect():
+        found.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    same = sorted(i for i, v in rows if abs(abs(v @ near) - np.sqrt((v @ v) * (near @ near))) < 1e-6 * np.sqrt((v @ v) * (near @ near)))
+    assert [i for _, i in sorted(found[0])] == same[:5]
+    assert [i for _, i in sorted(found[50])] == [i for i in same if i != 50][:5]
+
+
+def made(kind, n):
     r = np.random.default_rng(4)
-    centres = r.standard_normal((40, 16))
-    x = centres[r.integers(0, 40, 6000)] + 0.4 * r.standard_normal((6000, 16))
+    if kind == "clusters":
+        return r.standard_normal((40, 16))[r.integers(0, 40, n)] + 0.4 * r.standard_normal((n, 16))
+    return r.standard_normal((n, 16))
+
+
+@pytest.mark.parametrize("kind", ["clusters", "none"])
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_with_fewer_probes_than_parts(spark, monkeypatch, kind, n):
+    x = made(kind, n)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    chosen, fit = [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a: chosen.append(fit(*a)) or chosen[-1])
     found = {}
-    for row in neighbours.nearest(df, every=50, sample=2048).collect():
+    for row in neighbours.nearest(df, every=50).collect():
         found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    _, parts, probes = chosen[0]
+    assert 1 <= probes < parts and (kind == "none" or probes <= parts / 4)
     want = brute_nearest([(i, v.tolist()) for i, v in enumerate(x)], 50, 5)
     assert np.mean([len(found[q] & {i for _, i in own}) / 5 for q, own in want.items()]) >= 0.9
-    u = neighbours.unit(x[:2048])
-    part = neighbours.balanced_parts(neighbours.neighbour_graph(u, 10), 16, np.random.default_rng(0))
+
+
+def test_parts_are_balanced_and_grow():
+    u = neighbours.unit(made("clusters", 4096))
+    part = neighbours.balanced_parts(neighbours.neighbour_graph(u[:2048], 10), 16, np.random.default_rng(0))
     assert set(np.bincount(part)) == {128}
-    router = neighbours.fit(u)
-    assert neighbours.probes_for(router, neighbours.unit(x[2048:4096]), 5) <= 6  # clusters need few
+    sizes = [neighbours.fit(u[:n], u[n : 2 * n], 5)[1] for n in (100, 500, 2048)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[2] > sizes[1] > 1
 
 
 def brute_rake(cells, targets, rounds=3000):
@@ -266,17 +296,3 @@ def test_urls(spark, monkeypatch, rules, most):
     found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, rules)).collect()}
     assert found == {i: brute_url(u, rules, url_filter.DEFAULT) for i, u in [*enumerate(urls), (None, URLS[9])]}
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark, rules)).count() == 0
-
-
-def test_recall_with_fewer_probes_than_parts(spark, monkeypatch):
-    r = np.random.default_rng(6)
-    x = r.standard_normal((40, 16))[r.integers(0, 40, 5000)] + 0.4 * r.standard_normal((5000, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    probes, routed = [], neighbours.routed
-    monkeypatch.setattr(neighbours, "routed", lambda *a: probes.append(a[-1]) or routed(*a))
-    found = {}
-    for row in neighbours.nearest(df, every=50, sample=2048).collect():
-        found.setdefault(row["query_id"], set()).add(row["vec_id"])
-    assert 1 <= probes[1] < neighbours.PARTS
-    want = brute_nearest([(i, v.tolist()) for i, v in enumerate(x)], 50, 5)
-    assert np.mean([len(found[q] & {i for _, i in own}) / 5 for q, own in want.items()]) >= 0.9
