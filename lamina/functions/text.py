@@ -7,14 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import LOWERED_DIGITS, RAISED_DIGITS, TERM
+
 #: What str.strip() takes away in most languages: Unicode white space.
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
-_UNIT = "[0-9A-Za-zµ²³]"
-#: A term: letters and digits, joined by single hyphens or slashes.
-TERM = f"{_UNIT}+([/-]{_UNIT}+)*"
 #: Not used by texts; stands between parts while they are one string.
 CUT = ""
-LOWERED_DIGITS, RAISED_DIGITS = "₀₁₂₃₄₅₆₇₈₉", "⁰¹²³⁴⁵⁶⁷⁸⁹"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import ADMISSION_WORDS, BANNER
+
 
 @dataclass(frozen=True)
 class Template:
@@ -17,26 +19,14 @@ class Template:
     rules: str
 
 
-_SHARED = "RULES:\n- Rely on the excerpts above and on the note, not on outside knowledge.\n- Never add a drug, dose, interval or finding that neither of them states.\n"
-DISCHARGE = Template(
-    "As the physician on duty in an emergency department you write what a patient going home has to do. The patient and the family doctor will read it.",
-    "TASK:\nWrite two sections and nothing besides.\n\nSECTION 1 — DISCHARGE RECOMMENDATIONS\n- One numbered list, an item for each instruction, in one or two direct sentences.\n"
-    "- Medicines with name, dose, route and interval as the note has them; if the interval is missing, say that the specialist decides it.\n- Habits that must change are advised firmly; good ones are not mentioned.\n"
-    "- Visits name the kind of specialist and the purpose.\n- No reasons, no headings, no citations here.\n- Last but one: the warning signs that call for the nearest emergency department. Last: back to the family doctor for all further care.\n\n"
-    "SECTION 2 — CLINICAL REFERENCES\nFor every number of section 1: number - [E#] - the reason in a few words.\n",
-    _SHARED + "- Excerpts that agree are cited together under one recommendation.\n- Section 1 can be handed over as it stands.\n",
-)
-ADMISSION = Template(
-    "As the physician on duty in an emergency department you write a handover for a patient who is being admitted. The ward, the patient and the family will read it.",
-    "TASK:\nWrite two sections. Therapy and later visits are the ward's to decide.\n\nSECTION 1 — ADMISSION NOTE\n- A numbered list: where the patient is admitted and what is planned there; that patient and family know the diagnosis, "
-    "the expected course and the pathway; before surgery, that the patient is prepared; to which team the patient is handed over.\n- No prescriptions, no examples, no citations here.\n\n"
-    "SECTION 2 — CLINICAL REFERENCES\nFor each item that rests on an excerpt: number - [E#] - the reason in a few words.\n",
-    _SHARED + "- Section 1 can be handed over as it stands.\n",
-)
+#: Short neutral defaults; users give their own texts.
+_RULE = "Use the note and the excerpts alone, and cite excerpts by their numbers.\n"
+DISCHARGE = Template("Clinician of an emergency department.", "TASK:\nAdvise a patient who goes home: treatment, visits, warning signs.\n", _RULE)
+ADMISSION = Template("Clinician of an emergency department.", "TASK:\nHand over a patient who stays: ward, plan, what the family was told.\n", _RULE)
 
 
 def is_admitted(prognosis: Column) -> Column:
-    return F.lower(prognosis).rlike("admission|admitted|hospitali[sz]ation")
+    return F.lower(prognosis).rlike("|".join(ADMISSION_WORDS))
 
 
 def preamble(role: Column, note: Column, excerpts: Column) -> Column:
@@ -55,9 +45,6 @@ def build_prompts(notes: DataFrame, fields: DataFrame, final: DataFrame, chunks:
     return met.select("note_id", F.when(admitted, "admission").otherwise("discharge").alias("template"), prompt.alias("prompt"))
 
 
-BANNER = "\n\n" + "=" * 60 + "\nORIGINAL RECOMMENDATIONS (for comparison)\n" + "=" * 60 + "\n"
-
-
 def append_reference(outputs: DataFrame, references: DataFrame, retrieval_only: bool = False) -> DataFrame:
     """(note_id, output): outputs with the physician's own text behind a banner, where references (note_id, reference) has one and the run is not for retrieval only."""
     met = outputs.join(references, "note_id", "left")

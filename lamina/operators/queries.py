@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import ANCHORS
+from ..fixed import ANCHORS
 from .entities import condense
 from .notes import age_bracket
 

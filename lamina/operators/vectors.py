@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Query rows up to this many are broadcast; more are met block by block.
 BROADCAST_QUERIES = 20_000
 
@@ -27,8 +29,10 @@ def build_index(chunks: DataFrame) -> DataFrame:
 
 def with_dense_ids(chunks: DataFrame, *order: str) -> DataFrame:
     """chunk_id 0..n-1 in the given order: places within a range partition, moved by the sizes of those before. The range
-    sort is the only shuffle; the sizes are a row per partition."""
+    sort is the only shuffle; its result is written, since bounds of ranges are sampled and must not differ between the
+    two reads. The sizes are a row per partition."""
     ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    ranged = stored(ranged, "ranged")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.join(F.broadcast(before), "_p").withColumn("chunk_id", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")

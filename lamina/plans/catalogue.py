@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import models
+from .. import fixed, models
 from ..functions import text as fx
 from ..operators import entities, notes, prompt, quality, queries, rerank, segment, stats, vectors
+from ..session import spread, stored
 from . import pipelines
 from . import standins as v
 from .standins import strip_sql, with_views
@@ -52,12 +53,12 @@ def empty_page_ratio(s, d):
     return quality.empty_page_share(v.blocks(s, d))
 
 
-_biblio = r"(len(ls) > 0 AND coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '\d{4}\s*;\s*\d+') OR regexp_matches(lower(x), 'doi|http')))::DOUBLE / nullif(len(ls), 0), 0) >= 0.1::DOUBLE)"
-_abbr = r"(len(list_filter(list_transform(raw, lambda x: " + strip_sql("x") + r"), lambda x: regexp_matches(x, '^[A-Z][-A-Z0-9]{1,9}\s*$'))) >= 12)"
+_biblio = rf"(len(ls) > 0 AND coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '{fixed.CITATION}') OR regexp_matches(lower(x), '{fixed.LINK}')))::DOUBLE / nullif(len(ls), 0), 0) >= 0.1::DOUBLE)"
+_abbr = r"(len(list_filter(list_transform(raw, lambda x: " + strip_sql("x") + r"), lambda x: regexp_matches(x, '" + fixed.SHORT_NAME + "'))) >= 12)"
 _share = lambda pattern: f"coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '{pattern}')))::DOUBLE / nullif(len(ls), 0), 0)"
 _score = (
     r"(CASE WHEN len(list_filter(ls[1:20], lambda x: regexp_matches(x, '[\pL\pN_]'))) > 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + 0.4::DOUBLE * least("
-    + _share(r"^[A-Za-z].*[-.·…\s]{2,}\d{1,4}\s*$") + " / 0.5::DOUBLE, 1.0::DOUBLE) + 0.2::DOUBLE * least(" + _share(r"[-.·…]{5,}") + " / 0.3::DOUBLE, 1.0::DOUBLE))"
+    + _share(fixed.NUMBERED) + " / 0.5::DOUBLE, 1.0::DOUBLE) + 0.2::DOUBLE * least(" + _share(fixed.LEADER) + " / 0.3::DOUBLE, 1.0::DOUBLE))"
 )
 _index = f"(length({strip_sql('text')}) >= 20 AND {_score} >= 0.4::DOUBLE)"
 
@@ -85,7 +86,7 @@ def bad_pages(s, d):
     return quality.good_pages(v.pages(s, d)).select("doc_id", "page")
 
 
-_bare = r"list_filter(list_transform(raw, lambda x: " + strip_sql(r"regexp_replace(x, '([).,A-Za-z])\d+([-–,]\d+)*', '\1', 'g')") + "), lambda x: x <> '')"
+_bare = r"list_filter(list_transform(raw, lambda x: " + strip_sql(r"regexp_replace(x, '([a-zA-Z\)\.,])\d+(?:[,\-–]\d+)*', '\1', 'g')") + "), lambda x: x <> '')"
 _garbled = lambda xs: f"list_filter({xs}, lambda x: length(regexp_replace(x, '[ -~]', '', 'g'))::DOUBLE / greatest(length(x), 1) <= 0.8::DOUBLE AND {strip_sql('x')} <> '')"
 
 
@@ -105,7 +106,7 @@ def clean_lines(s, d):
 
 
 _summaries = lambda xs: f"list_filter(list_transform({xs}, lambda x: {strip_sql('x')}), lambda x: NOT contains(x, '©') AND len(string_split(x, ';')) < 4)"
-_captions = lambda xs: rf"list_filter({xs}, lambda x: NOT regexp_matches(x, '(?i)^\s*(recommendation table|supplementary|table|figure|fig\.)\s*\d+'))"
+_captions = lambda xs: rf"list_filter({xs}, lambda x: NOT regexp_matches(x, '{fixed.CAPTION.replace('*+', '*')}'))"
 
 
 @query("drop_summaries", f"SELECT doc_id, page, array_to_string({_summaries('raw')}, chr(10)) AS text FROM line_v")
@@ -129,13 +130,14 @@ view(
     "clean_v",
 )
 view("short_v", r"SELECT rtrim(w, '.') AS token, sum(CASE WHEN ends_with(w, '.') THEN 1 ELSE 0 END)::BIGINT AS with_stop, sum(CASE WHEN ends_with(w, '.') THEN 0 ELSE 1 END)::BIGINT AS without_stop FROM (SELECT unnest(regexp_split_to_array(lower(u), '\s+')) AS w FROM (SELECT unnest(units) AS u FROM unit_v)) WHERE regexp_matches(w, '^[a-z]{1,5}\.?$') GROUP BY 1", "unit_v")
-view("known_v", "SELECT coalesce(list(token), []) AS known FROM (SELECT token FROM short_v WHERE with_stop >= 5 AND with_stop >= 0.8::DOUBLE * (with_stop + without_stop) ORDER BY with_stop DESC, token LIMIT 1000)", "short_v")
+view("known_v", "SELECT coalesce(list(token), []) AS known FROM (SELECT token FROM short_v WHERE with_stop >= 5 AND with_stop >= 0.8::DOUBLE * (with_stop + without_stop))", "short_v")
 view(
     "split_v",
-    r"SELECT doc_id, page, flatten(list_transform(units, lambda u: list_filter(string_split(array_to_string(list_transform(string_split(regexp_replace(u, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: p || CASE WHEN list_contains(known, lower(regexp_extract(p, '(?:^|[\s(])([A-Za-z]{1,5})\.$', 1))) THEN ' ' ELSE chr(1) END), ''), chr(1)), lambda x: x <> ''))) AS ss FROM unit_v, known_v",
+    r"SELECT doc_id, page, flatten(list_transform(units, lambda u: list_transform([string_split(regexp_replace(u, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))], lambda ps: list_filter(string_split(array_to_string(list_transform(ps, lambda p, i: p || CASE WHEN i = len(ps) THEN '' "
+    r"WHEN list_contains(known, lower(regexp_extract(p, '(?:^|[\s(])([A-Za-z]{1,5})\.$', 1))) THEN ' ' ELSE chr(1) END), ''), chr(1)), lambda x: x <> ''))[1])) AS ss FROM unit_v, known_v",
     "unit_v", "known_v",
 )
-_over = lambda xs: rf"flatten(list_transform({xs}, lambda s: CASE WHEN length(s) > 1200 THEN string_split(regexp_replace(s, '([!:;?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [s] END))"
+_over = lambda xs: rf"flatten(list_transform({xs}, lambda s: CASE WHEN length(s) > 1200 THEN string_split(regexp_replace(s, '([;:!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [s] END))"
 view("sent_v", f"SELECT doc_id, page, {_over(_captions(_summaries('ss')))} AS ss FROM split_v", "split_v")
 
 
@@ -143,9 +145,18 @@ def good(s, d):
     return quality.good_pages(v.pages(s, d))
 
 
-def known(s, d):
-    units = segment.page_units(good(s, d)).select(F.explode("units").alias("unit"))
-    return segment.abbreviation_list(segment.learn_abbreviations(units))
+def units(s, d):
+    """Units of good pages, stored: the abbreviations are learned from them before they are cut."""
+    return stored(segment.page_units(good(s, d)), "units")
+
+
+def known(made):
+    return segment.abbreviation_list(segment.learn_abbreviations(made.select(F.explode("units").alias("unit"))))
+
+
+def sentences(s, d):
+    made = units(s, d)
+    return segment.sentences_of_units(made, known(made))
 
 
 @query("merge_lines", "SELECT doc_id, page, array_to_string(units, chr(10)) AS units FROM unit_v")
@@ -160,7 +171,8 @@ def abbrev_table(s, d):
 
 @query("sentence_split", "SELECT doc_id, page, array_to_string(ss, chr(10)) AS sentences FROM split_v")
 def sentence_split(s, d):
-    return segment.page_units(good(s, d)).select("doc_id", "page", F.array_join(segment.split_sentences(F.col("units"), known(s, d)), "\n").alias("sentences"))
+    made = units(s, d)
+    return made.select("doc_id", "page", F.array_join(segment.split_sentences(F.col("units"), known(made)), "\n").alias("sentences"))
 
 
 @query("split_oversized", f"SELECT doc_id, page, array_to_string({_over('raw')}, chr(10)) AS parts FROM line_v")
@@ -170,7 +182,7 @@ def split_oversized(s, d):
 
 @query("clean_sentences", "SELECT doc_id, page, (i - 1)::INT AS sent_no, ss[i] AS sentence FROM (SELECT doc_id, page, ss, unnest(generate_series(1, len(ss))) AS i FROM sent_v)")
 def clean_sentences(s, d):
-    return segment.sentences_of(good(s, d), known(s, d))
+    return sentences(s, d)
 
 
 view("seq_v", "SELECT doc_id, list(page ORDER BY page, i) AS ps, list(s ORDER BY page, i) AS ss, list(length(s) ORDER BY page, i) AS ns FROM (SELECT doc_id, page, i, ss[i] AS s FROM (SELECT doc_id, page, ss, unnest(generate_series(1, len(ss))) AS i FROM sent_v)) GROUP BY doc_id", "sent_v")
@@ -180,17 +192,17 @@ view(
     "{'s': 1::BIGINT, 'n': 0::BIGINT, 'p': ps[1], 'out': [{'s': 0::BIGINT, 'e': 0::BIGINT, 'p': ps[1]}]}) AS f FROM seq_v",
     "seq_v",
 )
-view("cut_v", "SELECT doc_id, (k - 1)::INT AS chunk_no, o[k].p AS page_start, ps[o[k].e]::INT AS page_end, array_to_string(ss[o[k].s:o[k].e], ' ') AS text FROM (SELECT doc_id, ps, ss, o, unnest(generate_series(1, len(o))) AS k FROM (SELECT doc_id, ps, ss, list_append(f.out[2:], {'s': f.s, 'e': len(ss)::BIGINT, 'p': f.p}) AS o FROM fold_v))", "fold_v")
+view("cut_v", "SELECT doc_id, (k - 1)::INT AS chunk_no, o[k].p AS page_start, ps[o[k].e] AS page_end, array_to_string(ss[o[k].s:o[k].e], ' ') AS text FROM (SELECT doc_id, ps, ss, o, unnest(generate_series(1, len(o))) AS k FROM (SELECT doc_id, ps, ss, list_append(f.out[2:], {'s': f.s, 'e': len(ss)::BIGINT, 'p': f.p}) AS o FROM fold_v))", "fold_v")
 
 
 @query("chunk_documents", "SELECT doc_id, chunk_no, page_start, page_end, text FROM cut_v")
 def chunk_documents(s, d):
-    return segment.chunk(segment.sentences_of(good(s, d), known(s, d)))
+    return segment.chunk(sentences(s, d))
 
 
 @query("chunk_across_documents")
 def chunk_across_documents(s, d):
-    return segment.chunk(segment.sentences_of(good(s, d), known(s, d)), carry_across_docs=True)
+    return segment.chunk(sentences(s, d), carry_across_docs=True)
 
 
 # Vectors and statistics
@@ -203,7 +215,7 @@ view(
 
 @query("hash_embed", "SELECT doc_id, b::INT AS bucket, round((c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM hash_v")
 def hash_embed(s, d):
-    made = models.embed(v.table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
+    made = models.embed(spread(v.table(s, d, "documents").select("doc_id", "text"))).select("doc_id", F.posexplode_outer("embedding").alias("bucket", "value"))
     return made.filter("value > 0").select("doc_id", "bucket", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
@@ -251,11 +263,11 @@ view("kept_v", f"SELECT note_id, list_reduce(rs, lambda acc, x: CASE WHEN len(li
 
 def pool(s, d):
     found = rerank.merge_first_seen(vectors.top_k(v.searching(s, d), v.chunks(s, d), 10))
-    return found.join(v.chunks(s, d), "chunk_id")
+    return stored(found.join(v.chunks(s, d), "chunk_id"), "pool")
 
 
-def pairs(s, d):
-    return rerank.lexical_scores(v.searching(s, d), pool(s, d), v.vocabulary(s, d))
+def pairs(s, d, candidates=None):
+    return rerank.lexical_scores(v.searching(s, d), candidates or pool(s, d), v.vocabulary(s, d))
 
 
 @query("topk_inner_product", "SELECT note_id, q_no, rank, chunk_id, round(score, 6) AS score FROM top_v")
@@ -285,12 +297,12 @@ def max_over_queries(s, d):
 
 @query("category_leaders", "SELECT note_id, q_no, chunk_id FROM lead_v")
 def category_leaders(s, d):
-    return rerank.category_leaders(pairs(s, d), pool(s, d))
+    return rerank.category_leaders(pairs(s, d, p := pool(s, d)), p)
 
 
 @query("boost_and_penalty", "SELECT note_id, chunk_id, is_leader, is_primary, round(final_score, 9) AS final_score FROM done_v")
 def boost_and_penalty(s, d):
-    return rerank.final_scores(pairs(s, d), pool(s, d)).select("note_id", "chunk_id", "is_leader", "is_primary", F.round("final_score", 9).alias("final_score"))
+    return rerank.final_scores(pairs(s, d, p := pool(s, d)), p).select("note_id", "chunk_id", "is_leader", "is_primary", F.round("final_score", 9).alias("final_score"))
 
 
 @query("text_overlap_pairs", f"SELECT note_id, x.chunk_id AS a, y.chunk_id AS b, round(coalesce(len(list_intersect(x.words, y.words))::DOUBLE / nullif(least(len(x.words), len(y.words)), 0), 0), 6) AS overlap FROM (SELECT note_id, chunk_id, pool_pos, {_words} AS words FROM pool_v) AS x JOIN (SELECT note_id, chunk_id, pool_pos, {_words} AS words FROM pool_v) AS y USING (note_id) WHERE x.pool_pos < y.pool_pos")
@@ -306,17 +318,18 @@ _final = "SELECT note_id, {n} AS rank, k.chunk_id AS chunk_id, round(k.final_sco
 
 @query("near_dup_removal", _final.format(n="i::INT", w=""))
 def near_dup_removal(s, d):
-    return rerank.select_final(rerank.final_scores(pairs(s, d), pool(s, d)), 1_000_000).withColumn("final_score", F.round("final_score", 9))
+    return rerank.select_final(rerank.final_scores(pairs(s, d, p := pool(s, d)), p), 1_000_000).withColumn("final_score", F.round("final_score", 9))
 
 
 @query("multi_query_rerank", _final.format(n="i::INT", w="WHERE i <= 10"))
 def multi_query_rerank(s, d):
-    return rerank.rerank(v.searching(s, d), pool(s, d), pairs(s, d), 10).withColumn("final_score", F.round("final_score", 9))
+    candidates = pool(s, d)
+    return rerank.rerank(v.searching(s, d), candidates, pairs(s, d, candidates), 10).withColumn("final_score", F.round("final_score", 9))
 
 
 @query("single_query_rerank", "SELECT note_id, pair_v.q_no, row_number() OVER (PARTITION BY note_id, pair_v.q_no ORDER BY pair_score DESC, pool_pos)::INT AS rank, chunk_id, pair_score AS rerank_score FROM pair_v JOIN (SELECT note_id, chunk_id, pool_pos FROM pool_v) USING (note_id, chunk_id) QUALIFY rank <= 6")
 def single_query_rerank(s, d):
-    return rerank.single_query_rerank(pairs(s, d), pool(s, d))
+    return rerank.single_query_rerank(pairs(s, d, p := pool(s, d)), p)
 
 
 @query("mmr_select")
@@ -328,14 +341,13 @@ def mmr_select(s, d):
 
 # Notes
 
-_sections = {"medical_history": ("Pathological proximate", "Remote pathology"), "remote_medical_history": ("Remote pathology", "Objective examination"), "exams": ("Objective examination", "Clinical Diary"), "clinical_diary": ("Clinical (?:diary|record)", "Diagnosis"), "diagnosis": ("Diagnosis", "Prognosis")}
 _gender = f"CASE WHEN lower({strip_sql('split_part(text, chr(44), 1)')}) = 'other' THEN '' ELSE {strip_sql('split_part(text, chr(44), 1)')} END"
-_years = r"try_cast(nullif(regexp_extract(text, '(?i)^[^,]+,\s*(\d+)\s*(?:aa|years?\s*old)', 1), '') AS INT)"
-_months = r"try_cast(nullif(regexp_extract(text, '(?i)^[^,]+,\s*(?:\d+\s*(?:aa|years?\s*old))?\s*(\d+)\s*months?', 1), '') AS INT)"
+_years = f"try_cast(nullif(regexp_extract(text, '{fixed.DEMOGRAPHICS}', 1), '') AS INT)"
+_months = f"try_cast(nullif(regexp_extract(text, '{fixed.DEMOGRAPHICS}', 2), '') AS INT)"
 view(
     "field_v",
     f"SELECT note_id, text, {_gender} AS gender, coalesce({_years}, CASE WHEN {_months} IS NOT NULL THEN 0 END)::INT AS age, {_years} IS NULL AND {_months} IS NOT NULL AS neonatal, "
-    + ", ".join(strip_sql(rf"regexp_extract(text, '(?is){a}[:\s]+(.*?){b}\s*:', 1)") + f" AS {n}" for n, (a, b) in _sections.items())
+    + ", ".join(strip_sql(rf"regexp_extract(text, '(?is){a}[:\s]+(.*?){b}\s*:', 1)") + f" AS {n}" for n, (a, b) in fixed.SECTIONS.items())
     + ", " + strip_sql(r"regexp_extract(text, '(?is)Prognosis[:\s]+(.+)$', 1)") + " AS prognosis FROM note_v",
     "note_v",
 )
@@ -360,29 +372,31 @@ def note_builder(s, d):
     return f.select("note_id", notes.build_note(gender, F.coalesce("age", F.lit(0)).cast("string"), F.col("medical_history"), remote, F.col("exams"), F.col("clinical_diary"), F.col("diagnosis"), F.col("prognosis")).alias("note"))
 
 
-_term = "[0-9A-Za-zµ²³]+(?:[/-][0-9A-Za-zµ²³]+)*"
-view("piece_v", f"SELECT note_id, w AS word, i, sum(length(w)) OVER (PARTITION BY note_id ORDER BY i)::INT AS stop FROM (SELECT note_id, ws[i] AS w, i FROM (SELECT note_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT note_id, regexp_extract_all(text, '{_term}|[^0-9A-Za-zµ²³]+') AS ws FROM note_v)))", "note_v")
+view("piece_v", f"SELECT note_id, w AS word, i, sum(length(w)) OVER (PARTITION BY note_id ORDER BY i)::INT AS stop FROM (SELECT note_id, ws[i] AS w, i FROM (SELECT note_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT note_id, regexp_extract_all(text, '{fixed.TERM}|[^a-zA-Z0-9µ²³]+') AS ws FROM note_v)))", "note_v")
 view("ent_v", "SELECT note_id, etype, word, (stop - length(word))::INT AS start, stop FROM piece_v JOIN gaz_v ON lower(word) = term", "piece_v", "gaz_v")
-_cue = r"(^|[^\pL\pN_])(absence of|absent|denied|denies|deny|excluded?|excludes|negative|neither|never|none|nor|not?|rule[ds]? out|without)([^\pL\pN_]|$)"
+_cue = rf"(^|[^\pL\pN_])({fixed.NEGATIONS})([^\pL\pN_]|$)"
 view(
     "neg_v",
-    rf"SELECT e.note_id, etype, word, start, stop, regexp_matches(regexp_replace(substr(text, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)), '(?s)^.*[.,:;]', ''), '(?i){_cue}') OR regexp_matches(regexp_replace(substr(text, stop + 1, 15), '(?s)[.,:;].*$', ''), '(?i)(^|[^\pL\pN_])negatives?([^\pL\pN_]|$)') AS negated FROM ent_v AS e JOIN note_v USING (note_id)",
+    rf"SELECT e.note_id, etype, word, start, stop, regexp_matches(regexp_replace(substr(text, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)), '(?s)^.*[.,:;]', ''), '(?i){_cue}') OR regexp_matches(regexp_replace(substr(text, stop + 1, 15), '(?s)[.,:;].*$', ''), '(?i)(^|[^\pL\pN_]){fixed.NEGATED_AFTER}([^\pL\pN_]|$)') AS negated FROM ent_v AS e JOIN note_v USING (note_id)",
     "ent_v", "note_v",
 )
 view("first_v", "SELECT note_id, etype, row_number() OVER (PARTITION BY note_id, etype ORDER BY start, stop)::INT AS ord, word FROM (SELECT * FROM neg_v WHERE NOT negated QUALIFY row_number() OVER (PARTITION BY note_id, etype, lower(word) ORDER BY start, stop) = 1)", "neg_v")
 view("rank_v", "SELECT note_id, etype, row_number() OVER (PARTITION BY note_id, etype ORDER BY score DESC, ord)::INT AS rank, word, score FROM (SELECT note_id, etype, ord, word, max(coalesce(idf, 0)) AS score FROM first_v LEFT JOIN vocab_v ON lower(word) = term GROUP BY ALL) WHERE score > 0 QUALIFY rank <= 10", "first_v", "vocab_v")
 
 
-def found(s, d):
-    return entities.find_terms(v.notes(s, d), v.gazetteer(s, d))
+def found(s, d, vocabulary=None):
+    return entities.find_terms(v.notes(s, d), v.gazetteer(vocabulary or v.vocabulary(s, d)))
 
 
-def first(s, d):
-    return entities.first_mentions(entities.affirmed(found(s, d), v.notes(s, d)).filter("not negated"))
+def first(s, d, vocabulary=None):
+    return entities.first_mentions(entities.affirmed(found(s, d, vocabulary), v.notes(s, d)).filter("not negated"))
 
 
-def ranking(s, d):
-    return entities.ranked(entities.scored(first(s, d), v.vocabulary(s, d)))
+def mentions(s, d):
+    """First mentions and their ranking, over one vocabulary."""
+    vocabulary = stored(v.vocabulary(s, d), "vocabulary")
+    once = stored(first(s, d, vocabulary), "mentions")
+    return once, entities.ranked(entities.scored(once, vocabulary))
 
 
 @query("gazetteer_ner", "SELECT note_id, etype, word, start, stop FROM ent_v")
@@ -402,7 +416,7 @@ def entity_dedup(s, d):
 
 @query("entity_rank", "SELECT note_id, etype, rank, word, round(score, 9) AS score FROM rank_v")
 def entity_rank(s, d):
-    return ranking(s, d).withColumn("score", F.round("score", 9))
+    return mentions(s, d)[1].withColumn("score", F.round("score", 9))
 
 
 @query("digit_normalise", "SELECT note_id, translate(text, '₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹', '01234567890123456789') AS text FROM note_v")
@@ -423,12 +437,12 @@ view(
 
 @query("condense_diary", "SELECT note_id, condensed FROM short_diary_v")
 def condense_diary(s, d):
-    words = queries.words_by_type(first(s, d), ranking(s, d)).filter("etype = 'DIAGNOSTIC_PROCEDURE'")
+    words = queries.words_by_type(*mentions(s, d)).filter("etype = 'DIAGNOSTIC_PROCEDURE'")
     return notes.fields(v.notes(s, d)).join(words, "note_id").select("note_id", entities.condense(F.col("clinical_diary"), F.col("words")).alias("condensed"))
 
 
 _named = lambda k, kind, anchor: f"SELECT note_id, {k} AS o, '{kind}' AS kind, concat_ws('. ', nullif(array_to_string(CASE WHEN len(words) > 0 THEN words ELSE all_words END, ' '), ''), nullif(diagnosis, ''), '{anchor}') AS query, true AS for_retrieval FROM field_v JOIN words_v USING (note_id) WHERE etype = '{kind}'"
-_anchors = dict(entities.ANCHORS)
+_anchors = dict(fixed.ANCHORS)
 view(
     "asked_v",
     "SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY o)::INT AS q_no, kind, query, for_retrieval, true AS for_rerank FROM ("
@@ -442,7 +456,7 @@ view(
 
 
 def asked(s, d):
-    return queries.build_queries(notes.fields(v.notes(s, d)), queries.words_by_type(first(s, d), ranking(s, d)))
+    return queries.build_queries(notes.fields(v.notes(s, d)), queries.words_by_type(*mentions(s, d)))
 
 
 @query("build_queries", "SELECT note_id, q_no, kind, query, for_retrieval, for_rerank FROM asked_v")
@@ -462,7 +476,7 @@ def query_file_text(s, d):
 
 # Prompts
 
-_admitted = "regexp_matches(lower(prognosis), 'admission|admitted|hospitali[sz]ation')"
+_admitted = f"regexp_matches(lower(prognosis), '{'|'.join(fixed.ADMISSION_WORDS)}')"
 
 
 @query("prompt_route", f"SELECT note_id, CASE WHEN {_admitted} THEN 'admission' ELSE 'discharge' END AS template FROM field_v")
@@ -484,7 +498,8 @@ _final10 = _final.format(n="i::INT", w="WHERE i <= 10")
 
 
 def prompts(s, d):
-    final = rerank.rerank(v.searching(s, d), pool(s, d), pairs(s, d), 10)
+    candidates = pool(s, d)
+    final = rerank.rerank(v.searching(s, d), candidates, pairs(s, d, candidates), 10)
     return prompt.build_prompts(v.notes(s, d), notes.fields(v.notes(s, d)), final, v.chunks(s, d))
 
 
@@ -496,7 +511,7 @@ def prompt_text(s, d):
 view("out_v", f"SELECT note_id, prompt AS output FROM ({_prompt_sql(_final10)})", "field_v", "kept_v", "chunk_v")
 
 
-@query("append_reference", f"SELECT note_id, output || CASE WHEN b.text IS NOT NULL THEN {v.sql_quote(prompt.BANNER)} || b.text ELSE '' END AS output FROM out_v LEFT JOIN benchmark AS b ON note_id = item_id")
+@query("append_reference", f"SELECT note_id, output || CASE WHEN b.text IS NOT NULL THEN {v.sql_quote(fixed.BANNER)} || b.text ELSE '' END AS output FROM out_v LEFT JOIN benchmark AS b ON note_id = item_id")
 def append_reference(s, d):
     references = v.table(s, d, "benchmark").select(F.col("item_id").alias("note_id"), F.col("text").alias("reference"))
     return prompt.append_reference(models.generate(prompts(s, d)).select("note_id", "output"), references)
@@ -506,4 +521,4 @@ def append_reference(s, d):
 def pipeline_end_to_end(s, d):
     """Both programs: documents to chunks and their index, conversations to prompts over it."""
     built = pipelines.build_index(v.pages(s, d))
-    return pipelines.answer(v.notes(s, d), built.chunks, built.vocabulary, v.gazetteer(s, d))
+    return pipelines.answer(v.notes(s, d), built.chunks, built.vocabulary, v.gazetteer(v.vocabulary(s, d)))

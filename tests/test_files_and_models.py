@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,8 +50,16 @@ def test_pdf_blocks_by_an_own_reader(spark, tmp_path):
 
 
 def test_models(spark):
-    x = models.HashEmbedder(8)(["a b a", "", "zz"])
-    assert np.allclose((x * x).sum(1), [1, 0, 1])
+    texts = ["a b a", "", "zz " * 40 + "CHA2-x, µg", None]
+    x = np.array([r["embedding"] for r in models.embed(spark.createDataFrame([(t,) for t in texts], "text string"), dim=8).collect()])
+    want = np.zeros((4, 8))
+    for row, text in zip(want, (["a", "b", "a"], [], ["zz"] * 40 + ["cha2-x", "µg"], []), strict=True):
+        for term in text:
+            row[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % 8] += 1
+        row /= np.sqrt((row * row).sum()) or 1
+    assert np.allclose(x, want, atol=1e-6)
+    given = models.embed(spark.createDataFrame([("abc",)], "text string"), lambda: lambda texts: np.array([[len(t)] for t in texts]))
+    assert given.first()["embedding"] == [3.0]
     pairs = spark.createDataFrame([("a", "a b"), ("q", "")], "query string, text string")
     scored = models.cross_encode(pairs, lambda: lambda q, t: [float(a in b) for a, b in zip(q, t, strict=True)])
     assert [r["pair_score"] for r in scored.collect()] == [1.0, 0.0]
