@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import scratch_path, ship, stored  # noqa: F401
 
 #: ASCII white space; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,7 +19,6 @@ CACHE_LIMIT = 300_000
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_scratch: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
@@ -31,44 +28,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset (tests, one machine) a temporary folder is made and set."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        if not (at := getattr(spark, "_lamina_shared", None)):
-            at = spark._lamina_shared = f"file://{tempfile.mkdtemp(prefix='lamina-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
-    """A new place in the shared folder, deleted by purge() unless it is lasting."""
-    path = f"{shared_dir(spark)}/lamina-{uuid.uuid4().hex[:12]}-{name}"
-    if not lasting:
-        _scratch.append(path)
-    return path
-
-
-def purge(spark: SparkSession) -> None:
-    """Delete every scratch table made so far; call it when the results that read them are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table of the shared folder: lineage ends there, so a lost executor costs no recomputation, and the shuffle files behind it are freed at once."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = scratch_path(spark, name), spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

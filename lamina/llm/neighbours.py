@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import per_batch, stored, table, tune
 
 #: Vectors fitted on and vectors measured on at most, least of the fitted ones in a part, parts at most, neighbours in the graph.
-SAMPLE, MEASURED, PER_PART, MAX_PARTS, DEGREE = 16_384, 4_096, 32, 256, 10
+SAMPLE, MEASURED, PER_PART, MAX_PARTS, DEGREE = 8_192, 2_048, 32, 256, 10
 #: Share of true neighbours that the searched parts must hold.
 RECALL = 0.95
 #: What a query's copy to one more part costs, as a share of a search through the whole table.
@@ -35,8 +35,8 @@ BLOCK, QUERIES = 16_384, 2_048
 def neighbour_graph(x: np.ndarray, k: int, rows: int | None = None) -> np.ndarray:
     """The k nearest of each of the first rows, its own left out."""
     k, out, rows = min(k, len(x) - 1), [], len(x) if rows is None else rows
-    for i in range(0, rows, 512):
-        s = x[i : min(i + 512, rows)] @ x.T
+    for i in range(0, rows, 256):
+        s = x[i : min(i + 256, rows)] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         out.append(np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(s), 0), np.int64))
     return np.concatenate(out)
