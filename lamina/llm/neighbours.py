@@ -27,7 +27,7 @@ SAMPLE, MEASURED, PER_PART, MAX_PARTS, DEGREE = 8_192, 2_048, 32, 256, 10
 #: Share of true neighbours that the searched parts must hold.
 RECALL = 0.95
 #: What a query's copy to one more part costs, as a share of a search through the whole table.
-COPY = 0.0005
+COPY = 0.001
 #: Rows of a task: candidates and queries.
 BLOCK, QUERIES = 16_384, 2_048
 
