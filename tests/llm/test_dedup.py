@@ -78,9 +78,9 @@ def tables(spark):
     return rows
 
 
-@pytest.mark.parametrize("which", ["edges", "table"])
-def test_repeats(spark, edges, which):
-    rows, df = (edge_rows(), edges) if which == "edges" else (tables(spark), spark.read.parquet(f"{DATA}/documents.parquet"))
+@pytest.mark.parametrize("which", ["edges", "clashing", "table"])
+def test_repeats(spark, edges, clashing, which):
+    rows, df = (edge_rows(), {"edges": edges, "clashing": clashing}[which]) if which != "table" else (tables(spark), spark.read.parquet(f"{DATA}/documents.parquet"))
     found = got(substring_dedup.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert found == sorted(brute_repeats(rows), key=repr)
     assert sum(r[2] for r in found) > 0
@@ -96,6 +96,54 @@ def test_repeats_with_many_partial_overlaps(spark, window):
     assert got(substring_dedup.remove_repeats(df, window), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute_repeats(rows, window), key=repr)
 
 
+def brute_longest(rows, window):
+    """The greatest doubling of window that has a window which also starts in a smaller doc_id."""
+    docs, out = [(r[0], WORDS(r[1] or "")) for r in rows], [0] * len(rows)
+    while any(len(w) >= window for _, w in docs):
+        starts = {}
+        for d, w in docs:
+            if d is not None:
+                for p in range(len(w) - window + 1):
+                    starts[k] = min(starts.get(k := tuple(w[p : p + window]), d), d)
+        for i, (d, w) in enumerate(docs):
+            if d is not None and any(starts[tuple(w[p : p + window])] < d for p in range(len(w) - window + 1)):
+                out[i] = window
+        window *= 2
+    return out
+
+
+@pytest.mark.parametrize("window", [4, 10])
+def test_repeats_double_until_none_is_left(spark, window):
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(str(x) for x in r.integers(0, 2, int(r.integers(0, 160)))), None, None, 0) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " tail", None, None, 0) for i in range(8)] + [(3, rows[4][1] + " other text", None, None, 0)]
+    out = substring_dedup.remove_repeats(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), window)
+    want = sorted(((d, n, gone, deep) for (d, n, gone, _), deep in zip(brute_repeats(rows, window), brute_longest(rows, window), strict=True)), key=repr)
+    assert got(out, "doc_id", "n_words", "n_removed", "longest_repeat") == want
+    assert max(w[3] for w in want) >= 4 * window
+
+
+def test_candidates_of_each_level(spark):
+    """Documents with a passage of 60, 130, 230 and 450 words: each goes on as long as both halves repeat, and the texts of the others are left behind."""
+    rows = []
+    for i, n in enumerate((60, 130, 230, 450)):
+        rows += [(2 * i, " ".join(prose(50 + i, n) + prose(60 + i, 500))), (2 * i + 1, " ".join(prose(70 + i, 500) + prose(50 + i, n)))]
+    rows += [(20, " ".join(prose(90, 900)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {n: [sorted(r["doc_id"] for r in t.filter(f"size({c}) > 0").collect()) for c in ("later", "first")] for n, t in substring_dedup.levels(docs)}
+    assert seen == {50: [[1, 3, 5, 7], [0, 2, 4, 6]], 100: [[3, 5, 7], [2, 4, 6]], 200: [[5, 7], [4, 6]], 400: [[7], [6]]}
+    assert {r["doc_id"]: r["longest_repeat"] for r in substring_dedup.remove_repeats(docs).collect()} == {0: 0, 1: 50, 2: 0, 3: 100, 4: 0, 5: 200, 6: 0, 7: 400, 20: 0}
+
+
+def test_runs_of_very_long_texts_are_told_apart():
+    """Places up to those of the longest text that a string can hold, without a cap."""
+    first, count = np.array([0, (1 << 26) + 5, (1 << 30) - 1]), np.array([1, 63, 7])
+    for mark in (0, (1 << 27) - 1):
+        at = substring_dedup.packed(mark, first, count)
+        assert (at >= 0).all() and (at >> 36 == mark).all()
+        assert [x.tolist() for x in substring_dedup.unpacked(at)] == [first.tolist(), count.tolist()]
+
+
 def test_repeats_cut_from_texts(clashing, nothing):
     out = {r["doc_id"]: r for r in substring_dedup.without_repeats(clashing).collect()}
     want = {d: (n, gone) for d, n, gone, _ in brute_repeats(edge_rows())}

@@ -1,7 +1,7 @@
 """The stages on a small table, each against what brute force says of its own input."""
 
 import corpus_pipeline
-from lamina.llm import packing, toxicity
+from lamina.llm import near_dedup, packing, toxicity
 from lamina.llm.common import table
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
             assert ids == {r[0] for r, s in zip(before, model.score([r[1].encode() for r in before]), strict=True) if s < toxicity.CUT}
             assert len(ids) < len(before)
         if name == "near_dedup":
-            assert ids == {r[0] for r, c in zip(before, brute_components([r[0] for r in before], brute_sets(before)), strict=True) if r[0] == c}
+            assert ids == {r[0] for r, c in zip(before, brute_components([r[0] for r in before], brute_sets(before), near_dedup.STAGE_THRESHOLD), strict=True) if r[0] == c}
             assert len(ids) < len(before)
         if name == "substring_dedup":
             want = {d: n - gone for d, n, gone, _ in brute_repeats(before) if not gone or n - gone}
