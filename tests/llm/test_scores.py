@@ -8,9 +8,12 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from lamina.llm import mixing, neighbours, quality, toxicity, url_filter
+from lamina.llm.common import stored
 
 from .conftest import DATA, edge_rows
+from .test_tokens import library_ids
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -239,36 +242,73 @@ def test_raking_meets_targets():
     assert np.allclose(ratio / ratio[0], 1, atol=1e-5)
 
 
-def test_mixing(spark, edges, clashing, nothing):
+def test_mixing_of_a_whole_table(spark):
+    """Topics by plain arithmetic, tokens by the library, weights by a brute-force rake."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.mixed(docs).collect()
-    assert len(rows) == docs.count()
-    known = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(r["tokens"] == len(known[r["doc_id"]].encode().split()) and 0 < r["probability"] <= 1 for r in rows if r["tokens"])
-    for a in mixing.AXES:  # expected tokens against targets
-        t = pd.DataFrame([(r[a], r["tokens"], r["tokens"] * r["probability"]) for r in rows], columns=["v", "n", "e"]).groupby("v").sum()
-        assert np.allclose(t["e"] / t["e"].sum(), mixing.tempered(t["n"]), atol=1e-6)
-    kept = sum(r["kept"] for r in rows)
-    assert abs(kept - sum(r["probability"] for r in rows)) < 5 * math.sqrt(len(rows))
-    both = {r["doc_id"] for r in mixing.sampled(docs).collect()}
-    assert both == {r["doc_id"] for r in rows if r["kept"]}
+    topics = mixing.fit_topics(docs)
+    rows = {r["doc_id"]: r for r in mixing.mixed(docs, topics=topics).collect()}
+    known = {r["doc_id"]: r for r in docs.collect()}
+    assert rows.keys() == known.keys()
+    cells, of = {}, {}
+    for d, r in known.items():
+        v = np.zeros(mixing.WIDTH)
+        for w in r["text"].encode().split():
+            v[xxhash.xxh3_64_intdigest(w) % mixing.WIDTH] += 1
+        v = np.log1p(v) / np.sqrt((np.log1p(v) ** 2).sum())
+        near = topics.centroids @ (v - topics.means.get(r["lang"], topics.mean))
+        assert near[rows[d]["topic"]] >= near.max() - 1e-9
+        assert rows[d]["tokens"] == len(library_ids(r["text"]))
+        of[d] = c = (r["source"], r["lang"], rows[d]["topic"])
+        cells[c] = cells.get(c, 0) + rows[d]["tokens"]
+    goals = []
+    for axis in range(3):
+        share = {}
+        for c, n in cells.items():
+            share[c[axis]] = share.get(c[axis], 0) + n
+        goals.append({k: n**mixing.TEMPER / sum(m**mixing.TEMPER for m in share.values()) for k, n in share.items()})
+    w = brute_rake(cells, goals, 200)
+    most = max(w.values())
+    assert all(abs(rows[d]["probability"] - w[c] / most) < 1e-6 for d, c in of.items())
+    share = sum(w[c] / most * n for c, n in cells.items()) / sum(cells.values())
+    assert all(abs(r["expected_share"] - share) < 1e-6 for r in rows.values()) and len(set(r["topic"] for r in rows.values())) == mixing.TOPICS
+    kept = {d for d, r in rows.items() if r["kept"]}
+    assert abs(len(kept) - sum(r["probability"] for r in rows.values())) < 5 * math.sqrt(len(rows))
+    assert {r["doc_id"] for r in mixing.sampled(docs).collect()} == kept
+
+
+def test_learned_topics_are_found_again():
+    """Texts of two subjects in two languages: the subject is told, not the language."""
+    r = np.random.default_rng(7)
+    words = {(s, g): [f"{s}{g}{i}".encode() for i in range(40)] for s in "ab" for g in ("en", "de")} | {g: [f"{g}{i}".encode() for i in range(60)] for g in ("en", "de")}
+    made = [(s, g, [words[s, g][i] for i in r.integers(0, 40, 60)] + [words[g][i] for i in r.integers(0, 60, 80)]) for s in "ab" for g in ("en", "de") for _ in range(50)]
+    topics = mixing.learn(np.stack([mixing.vector(w) for *_, w in made]), [g for _, g, _ in made], 4)
+    told = {(s, topics.of(w, g)) for s, g, w in made}
+    assert len({t for _, t in told}) == len(told) <= 4
+
+
+def test_mixing_of_odd_tables(spark, edges, clashing, nothing):
     assert mixing.sampled(clashing).columns == clashing.columns and mixing.mixed(edges).count() == len(edge_rows())
+    assert all(r["kept"] and r["topic"] == -1 for r in mixing.mixed(edges).collect() if not r["tokens"])
     assert mixing.mixed(nothing).count() == 0 and mixing.sampled(nothing).count() == 0
 
 
-def test_mixing_of_many_cells_is_the_same(spark):
+@pytest.mark.parametrize("targets", [None, {"lang": {"de": 0.5, "en": 0.2, "fr": 0.2, "es": 0.1}, "topic": {k: 1.0 for k in range(8)}}])
+def test_mixing_of_many_cells_is_the_same(spark, targets):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = mixing.profiled(docs)
-    few = mixing.weighted(rows, tolerance=1e-3, rounds=3).toPandas().sort_values(list(mixing.AXES))
-    many = mixing.weighted(rows, driver_cells=0, tolerance=1e-3, rounds=3).toPandas().sort_values(list(mixing.AXES))
+    rows = stored(mixing.profiled(docs, mixing.fit_topics(docs)), "rows")
+    few = mixing.weighted(rows, targets=targets, tolerance=1e-3, rounds=3).toPandas().sort_values(list(mixing.AXES))
+    many = mixing.weighted(rows, targets=targets, driver_cells=0, tolerance=1e-3, rounds=3).toPandas().sort_values(list(mixing.AXES))
     assert np.allclose(few["probability"], many["probability"], rtol=1e-9)
 
 
-def test_given_targets(spark):
+def test_given_targets_and_bounded_weights(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = mixing.mixed(docs, targets={"lang": {"de": 0.5, "en": 0.2, "fr": 0.2, "es": 0.1}}).collect()
+    targets = {"lang": {"de": 0.5, "en": 0.2, "fr": 0.2, "es": 0.1}}
+    rows = mixing.mixed(docs, targets=targets).collect()
     t = pd.DataFrame([(r["lang"], r["tokens"] * r["probability"]) for r in rows], columns=["v", "e"]).groupby("v")["e"].sum()
     assert abs(t["de"] / t.sum() - 0.5) < 1e-6
+    bounded = mixing.mixed(docs, targets=targets, bound=1.5).collect()
+    assert bounded[0]["expected_share"] > rows[0]["expected_share"] and max(r["probability"] for r in bounded) == 1
 
 
 URLS = [
