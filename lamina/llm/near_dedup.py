@@ -203,9 +203,7 @@ def linked_to_lead(docs: DataFrame, large: DataFrame, plan: Plan = PLAN) -> Data
 
 
 def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, *, plan: Plan = PLAN) -> DataFrame:
-    """(a, b) edges of spanning forests. docs: (doc_id, text), a row per doc_id; members: (doc_id, component, n_shingles, sketch), a row per representative."""
-    # all that follows needs the texts of members only: the corpus is shuffled once
-    docs = stored(docs.join(members.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    """(a, b) edges of spanning forests. docs: texts_of() members (doc_id, component, n_shingles, sketch), a row per class."""
     blocks = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
     sizes = stored(members.groupBy("component").agg(blocks().alias("k"), F.min("doc_id").alias("lead")), "sizes")
     small = members.join(sizes.filter("k = 1"), "component").select("doc_id", "component", "sketch", F.lit(False).alias("tied"), F.lit(1).alias("free"), F.lit(0).alias("held"))
@@ -260,11 +258,30 @@ def links(docs: DataFrame, members: DataFrame, block_docs: int = BLOCK_DOCS, blo
     return found.unionByName(edges) if edges is not None else found
 
 
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, text): each class's text once, under the class's key; the corpus is shuffled once. members: (doc_id, rep, a, b).
+
+    Where one rep has several classes, as its doc_id repeats with different texts, a class takes the text whose set it is.
+    """
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for text, key, rep, a in zip(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            keep.append(key == rep or (s := shingle_set(text)).size > 0 and int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == a)
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], ["doc_id", "text", "key"]).filter(pa.array(keep, pa.bool_()))
+
+    met = docs.join(members.select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("key"), "a").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "key", "a")
+    several = F.col("doc_id") != F.col("key")
+    sure = met.filter(~several).select("doc_id", "text", "key")
+    told = per_batch(met.filter(several), own, "doc_id long, text string, key long")
+    once = lambda df: df.groupBy("doc_id", "key").agg(F.first("text").alias("text")).select(F.col("key").alias("doc_id"), "text")
+    return stored(once(sure).unionByName(once(told)), "texts")
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs, columns doc_id and text being used. percent: one of PLANS.
 
     Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id share a component if their
-    texts are equal; with other texts each goes with the documents that it equals. A null doc_id names no component: such a row goes with the documents it equals, or, if there are
+    texts are equal; with other texts each goes with what it is near to, and proposes links of its own. A null doc_id names no component: such a row goes with the documents it equals, or, if there are
     none, has a null component_id and is kept. An empty table gives no rows.
     """
     plan = PLANS[percent]
@@ -273,19 +290,27 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     signed = stored(signatures(docs, plan), "signatures")
     # results of groups are written before they are joined: the joins then stand on plain exchanges, which can be split at a hot key
     classes = stored(signed.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "sets")
-    slim = stored(signed.select("doc_id", "n_shingles", "a", "b").join(classes, ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("rep")), "classes")
-    first = signed.filter("n_shingles > 0").join(classes.filter("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    first = stored(first.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
+    # a class goes by its smallest doc_id, or, where that has several texts and so several classes, by a negative hash of its set
+    shared = stored(classes.filter("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep"), "shared")
+    key = F.when(F.col("own").isNotNull(), -1 - F.pmod("a", F.lit((1 << 62) - 1))).otherwise(F.col("rep"))
+    classes = stored(classes.join(shared.select("rep", F.lit(True).alias("own")), "rep", "left").select("a", "b", "rep", key.alias("key")), "keyed")
+    slim = stored(signed.select("doc_id", "n_shingles", "a", "b").join(classes, ["a", "b"], "left").select("doc_id", "n_shingles", "key", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("rep")), "classes")
+    first = signed.filter("n_shingles > 0").withColumnRenamed("doc_id", "rep").join(classes.filter("rep is not null"), ["rep", "a", "b"]).dropDuplicates(["key"])
+    first = stored(first.select(F.col("key").alias("doc_id"), "rep", "a", "n_shingles", "bands", "sketch"), "representatives")
 
     banded = first.select("doc_id", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).filter("lead <> other").select("band", "lead")
     leads = stored(leads, "leads")
     proposed = banded.join(leads, "band").filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     near = connected_components(proposed).select(F.col("id").alias("doc_id"), F.col("root").alias("component"))
-    members = stored(first.select("doc_id", "n_shingles", "sketch").join(near, "doc_id"), "members")
-    roots = connected_components(links(docs, members, plan=plan)).select(F.col("id").alias("rep"), "root")
-
-    out = slim.join(roots, "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    members = stored(first.select("doc_id", "rep", "a", "n_shingles", "sketch").join(near, "doc_id"), "members")
+    found = links(texts_of(docs, members), members.drop("rep", "a"), plan=plan)
+    roots = connected_components(found).select(F.col("id").alias("key"), F.col("root"))
+    # a component's least doc_id is that of its least key's class, unless a key is a hash
+    least = roots.join(first.select(F.col("doc_id").alias("key"), "rep"), "key").groupBy("root").agg(F.min("rep").alias("least"))
+    roots = roots.join(stored(least, "least"), "root").select("key", "least")
+
+    out = slim.join(roots, "key", "left").withColumn("component_id", F.coalesce("least", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 

@@ -170,6 +170,16 @@ def test_near_duplicates_with_odd_columns_and_none(clashing, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_where_ids_repeat_with_other_texts(spark):
+    """Each text of a repeated doc_id keeps its own links; repeated rows count once."""
+    x, y, z = prose(21, 120), prose(22, 120), prose(23, 120)
+    near = lambda w, i: " ".join(v if j != i else "changed" for j, v in enumerate(w))
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (5, " ".join(x)), (7, near(x, 60)), (8, near(y, 70)), (9, " ".join(y)), (3, near(z, 50)), (5, " ".join(z)), (11, near(z, 5)), (5, ""), (12, "alone here is one text")] + [(5, " ".join(x))] * 40
+    sets = brute_sets(rows)
+    want = [(r[0], len(s), c) for r, s, c in zip(rows, sets, brute_components([r[0] for r in rows], sets), strict=True)]
+    assert got(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+
+
 def chain(n):
     """Each text differs from the next in a few words, so the first and the last don't link."""
     w, out = prose(9, 150), []
