@@ -117,7 +117,7 @@ def test_repeats_double_until_none_is_left(spark, window):
     r = np.random.default_rng(6)
     rows = [(i, " ".join(str(x) for x in r.integers(0, 2, int(r.integers(0, 160)))), None, None, 0) for i in range(30)]
     rows += [(100 + i, rows[i][1] + " tail", None, None, 0) for i in range(8)] + [(3, rows[4][1] + " other text", None, None, 0)]
-    out = substring_dedup.remove_repeats(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), window)
+    out = substring_dedup.remove_repeats(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), window, deep=True)
     want = sorted(((d, n, gone, deep) for (d, n, gone, _), deep in zip(brute_repeats(rows, window), brute_longest(rows, window), strict=True)), key=repr)
     assert got(out, "doc_id", "n_words", "n_removed", "longest_repeat") == want
     assert max(w[3] for w in want) >= 4 * window
@@ -132,7 +132,7 @@ def test_candidates_of_each_level(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     seen = {n: [sorted(r["doc_id"] for r in t.filter(f"size({c}) > 0").collect()) for c in ("later", "first")] for n, t in substring_dedup.levels(docs)}
     assert seen == {50: [[1, 3, 5, 7], [0, 2, 4, 6]], 100: [[3, 5, 7], [2, 4, 6]], 200: [[5, 7], [4, 6]], 400: [[7], [6]]}
-    assert {r["doc_id"]: r["longest_repeat"] for r in substring_dedup.remove_repeats(docs).collect()} == {0: 0, 1: 50, 2: 0, 3: 100, 4: 0, 5: 200, 6: 0, 7: 400, 20: 0}
+    assert {r["doc_id"]: r["longest_repeat"] for r in substring_dedup.remove_repeats(docs, deep=True).collect()} == {0: 0, 1: 50, 2: 0, 3: 100, 4: 0, 5: 200, 6: 0, 7: 400, 20: 0}
 
 
 def test_runs_of_very_long_texts_are_told_apart():
