@@ -3,8 +3,8 @@
 Features of a text, each a rate or a share so that length alone decides nothing: densities of the seed lexicon, of words
 learned from training rows and of learned word beginnings; the largest share of lexicon words near a second-person word;
 capitals, punctuation, repeated letters and letters swapped for digits or marks. Labels are learned from a bounded sample
-(MAX_TRAIN rows, the least by a hash of their ids, of at most MAX_TRAIN_BYTES each) of the rows that are not held out; copies and near copies of a text count once. The
-trees are grown on histograms of the features' quantiles on the driver, over that sample alone; scoring is one pass over
+(MAX_TRAIN ids, the least by a hash, a text of at most MAX_TRAIN_BYTES for each, MAX_TRAIN_TOTAL bytes together) of the
+rows that are not held out; copies and near copies of a text count once. The trees are grown on histograms of the features' quantiles on the driver, over that sample alone; scoring is one pass over
 all texts without a shuffle.
 """
 
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_LIMIT, per_batch, raw, table, tune, windows, word_hashes
+from .common import CACHE_LIMIT, per_batch, raw, stored, table, tune, windows, word_hashes
 
-#: Labelled rows that may be used for fitting, the bytes of a text beyond which it isn't used for that, and the words and beginnings that may be learned.
-MAX_TRAIN, MAX_TRAIN_BYTES, MAX_LEARNED = 8_000, 200_000, 600
+#: Labelled ids that may be used for fitting, the bytes of a text beyond which it isn't used for that, the bytes of all such texts, and the words and beginnings that may be learned.
+MAX_TRAIN, MAX_TRAIN_BYTES, MAX_TRAIN_TOTAL, MAX_LEARNED = 8_000, 200_000, 64 << 20, 600
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 #: Least rows of a leaf, for small and for large samples.
 LEAVES = (5, 20)
@@ -210,11 +210,20 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most so many labelled rows that are not held out. The ids chosen are few enough to broadcast."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, total: int = MAX_TRAIN_TOTAL) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of at most so many labelled ids that are not held out, and of at most so many bytes together.
+
+    An id counts once: of several labels the greatest holds, of several texts the one of the least hash. The ids chosen
+    are few enough to broadcast; bytes are counted before any text comes to the driver.
+    """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").collect()  # MAX_TRAIN rows at most, as ids count once
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
+    once = stored(met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "training")
+    sizes = once.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # most rows of two numbers
+    fit = np.cumsum([r["n"] for r in sizes]) <= total
+    ids = [r["doc_id"] for r, ok in zip(sizes, fit.tolist(), strict=True) if ok]
+    rows = (once if len(ids) == len(sizes) else once.filter(F.col("doc_id").isin(ids))).select("text", "toxic").collect()
     seen: dict[bytes, int] = {}
     for r in rows:
         text = r["text"].encode()

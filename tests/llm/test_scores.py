@@ -126,6 +126,76 @@ def test_toxicity_of_odd_tables(spark, edges, clashing, nothing):
     assert toxicity.scored(nothing, toxicity.fit(nothing, labels)).count() == 0
 
 
+def brute_features(text, seed, learned, starts):
+    """The features by their definitions, word by word."""
+    words = text.encode().split()
+    n = len(words)
+    if not n:
+        return [0.0] * len(toxicity.FEATURES)
+    bare = [w.strip(b".,!?;:\"'()[]{}<>*_-").decode().lower() for w in words]
+    swap = dict(zip("01345$@!7", "oieassait", strict=True))
+    turned = ["".join(swap.get(c, c) for c in p) for p in bare]
+    is_seed = [p.encode() in seed for p in bare]
+    is_learned = [p in learned for p in bare]
+    begins = [any(p[:k] in starts for k in (4, 5, 6) if len(p) > k) for p in bare]
+    you = [p.encode() in toxicity.SECOND for p in bare]
+    caps = [len(p.encode()) > 1 and w.isupper() for p, w in zip(bare, words, strict=True)]
+    swapped = [t != p and p.isascii() and any("a" <= c <= "z" for c in p) and (t.encode() in seed or t in learned) for p, t in zip(bare, turned, strict=True)]
+    stretched = [any(e[i] == e[i + 1] == e[i + 2] for i in range(len(e) - 2)) for e in (p.encode() for p in bare)]
+    marked = ["*" in p or "." in p for p in bare]
+    bad = [a or b or c or d for a, b, c, d in zip(is_seed, is_learned, begins, swapped, strict=True)]
+    near = sum(bad[i] and any(you[j] for j in range(max(0, i - 5), min(n, i + 6))) for i in range(n))
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    marks = sum(c.isascii() and c.isprintable() and not c.isalnum() and c != " " for c in text)
+    strong = sum(a or b or c for a, b, c in zip(is_seed, is_learned, swapped, strict=True))
+    share = lambda x: sum(x) / n
+    return [share(is_seed), share(is_learned), share(begins), share(bad), math.log1p(sum(bad)), math.log1p(strong), near / n, share(you), share(caps), share(swapped), share(stretched), share(marked), upper / max(1, upper + lower), text.count("!") / n, marks / max(1, len(text.encode())), math.log1p(n)]
+
+
+def brute_score(model, x):
+    """Trees walked one by one, then the calibration's line between two knots."""
+    f = model.trees.base
+    for tree, values in model.trees.trees:
+        node = 0
+        for level in range(toxicity.DEPTH):
+            feature, cut = tree[2**level - 1 + node]
+            node = 2 * node + (sum(e < x[feature] for e in model.trees.edges[feature]) > cut)
+        f += values[node]
+    at, value = model.knots
+    if f <= at[0]:
+        c = value[0]
+    elif f >= at[-1]:
+        c = value[-1]
+    else:
+        i = max(k for k in range(len(at)) if at[k] <= f)
+        c = value[i] if at[i] == f else value[i] + (value[i + 1] - value[i]) * (f - at[i]) / (at[i + 1] - at[i])
+    return min(1, max(0, c * 0.999 + 0.0005 / (1 + math.exp(-f))))
+
+
+def test_features_and_scores_by_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = [r["text"] for r in docs.filter("doc_id % 5 = 0").collect()] + ["", "YOU 1diot!!! st*pid you", "noooo w.o.r.d YOUR scum, $tupid", "ÄÖ you-are idiot"]
+    x = toxicity.features([t.encode() for t in texts], model.lexicon)
+    want = [brute_features(t, toxicity.SEED, model.lexicon.words, model.lexicon.starts) for t in texts]
+    assert np.allclose(x, want, atol=1e-12)
+    some = list(range(0, len(texts), 4)) + list(range(len(texts) - 4, len(texts)))
+    assert np.allclose(model.score([texts[i].encode() for i in some]), [brute_score(model, want[i]) for i in some], atol=1e-9)
+    assert len(model.trees.trees) == toxicity.TREES
+
+
+def test_training_rows_are_bounded(spark):
+    """Ids count once, however often they repeat and with however many texts; bytes are bounded together."""
+    rows = [(k % 30, f"text {k % 7} of id {k % 30} " + "w " * 40) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] * 3, "doc_id long, toxic int")
+    one = toxicity.training_rows(docs, labels, most=4)[0]
+    assert 1 <= len(one) <= 4 and len({t.split()[4] for t in one}) == len(one)
+    size = len(rows[0][1]) + 2
+    assert 1 <= len(toxicity.training_rows(docs, labels, total=3 * size)[0]) <= 3
+
+
 def test_trees_and_isotonic_fit():
     r = np.random.default_rng(2)
     x = r.standard_normal((3000, 4))
