@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import ship, stored
 
-#: Query rows up to this many are broadcast; more are met block by block.
+#: Queries of a block, which every task of a search is sent.
 BROADCAST_QUERIES = 20_000
 
 
@@ -52,11 +57,53 @@ def sanity(index: DataFrame) -> DataFrame:
 def top_k(queries: DataFrame, index: DataFrame, k: int = 30, keys: tuple[str, ...] = ("note_id", "q_no")) -> DataFrame:
     """(keys, rank, chunk_id, score): the k best inner products of each query over all rows of the index, ties to smaller ids.
 
-    The stated queries are met with every row of the index, the smaller side broadcast after a count; each task keeps k
-    rows per query before anything is shuffled (partial top-k of the window). Text never enters the scan.
+    Queries meet the whole index in blocks of at most about BROADCAST_QUERIES, which are counted before they are sent to
+    the tasks; a task multiplies matrices and keeps k rows a query, so that is all that is shuffled. More queries than a
+    block holds cost one scan of the vectors each. Text never enters the scan; null vectors take no part.
     """
-    q = queries.select(*keys, F.col("embedding").alias("_q"))
-    q = F.broadcast(q) if q.count() <= BROADCAST_QUERIES else q
-    met = index.select("chunk_id", "embedding").crossJoin(q).select(*keys, "chunk_id", dot(F.col("embedding"), F.col("_q")).alias("score"))
+    asked = queries.select(*keys, F.col("embedding").cast("array<double>").alias("_q")).filter("_q is not null")
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    kinds = ", ".join(f"{c} {t}" for c, t in asked.drop("_q").dtypes)
+    ship(index.sparkSession)
+    found = []
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b)
+        block = own.toArrow()
+        found.append(index.select("chunk_id", F.col("embedding").cast("array<double>")).filter("embedding is not null").mapInArrow(_searching(block, k), f"{kinds}, chunk_id {dict(index.dtypes)['chunk_id']}, score double"))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*keys, "rank", "chunk_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*keys, "rank", "chunk_id", "score")
+
+
+def _searching(block: pa.Table, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's search of its rows for a block of queries, whose last column is their vectors."""
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = matrix(block.column(block.num_columns - 1).combine_chunks())
+        best, least = [[] for _ in q], np.full(len(q), -np.inf)
+        for batch in batches:
+            if not len(batch) or not len(q):
+                continue
+            ids, x = batch.column(0).to_pylist(), matrix(batch.column(1))
+            error = (x.shape[1] + 8) * 4e-16 * max(1.0, float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1])
+            step = max(1, 4_000_000 // len(q))
+            for at in range(0, len(x), step):
+                near = q @ x[at : at + step].T
+                may = near >= least[:, None] - error
+                for r in np.flatnonzero(may.any(1)).tolist():
+                    own = np.flatnonzero(may[r])
+                    if len(own) > k:
+                        own = own[near[r, own] >= np.partition(near[r, own], -k)[-k] - 2 * error]
+                    # one sum for each pair, whatever the batch, so that equal vectors have equal scores
+                    scores = (x[at + own] * q[r]).sum(1)
+                    best[r] = sorted(best[r] + [(-s, ids[at + i]) for s, i in zip(scores.tolist(), own.tolist(), strict=True)])[:k]
+                    if len(best[r]) == k:
+                        least[r] = -best[r][-1][0]
+        rows = pa.array([r for r, b in enumerate(best) for _ in b], pa.int64())
+        keys = [block.column(i).combine_chunks().take(rows) for i in range(block.num_columns - 1)]
+        chunk_ids, scores = [i for b in best for _, i in b], [-s for b in best for s, _ in b]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(chunk_ids, pa.int64()), pa.array(scores, pa.float64())], [*block.schema.names[:-1], "chunk_id", "score"])
+
+    return run

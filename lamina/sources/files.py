@@ -26,10 +26,10 @@ def read_notes(spark: SparkSession, folder: str, name: str | None = None) -> Dat
 
 
 def with_translations(spark: SparkSession, notes: DataFrame, folder: str, prefix: str = "translation") -> DataFrame:
-    """Notes with the text of a folder's <prefix><stem>.txt in place of their own, where there is one."""
+    """(stem, text, given): notes with the text of a folder's <prefix><stem>.txt in place of their own, where there is one."""
     files = spark.read.option("pathGlobFilter", f"{prefix}*.txt").text(folder, wholetext=True)
     given = files.select(_stem("txt", prefix).alias("stem"), F.col("value").alias("_given"))
-    return notes.join(given, "stem", "left").select("stem", F.coalesce("_given", "text").alias("text"))
+    return notes.join(given, "stem", "left").select("stem", F.coalesce("_given", "text").alias("text"), F.col("_given").isNotNull().alias("given"))
 
 
 def read_references(spark: SparkSession, folder: str) -> DataFrame:

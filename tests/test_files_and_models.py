@@ -23,7 +23,7 @@ def test_note_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_notes(spark, str(tmp_path), "B.txt").collect()] == [("B", "ita B")]
     with pytest.raises(ValueError):
         files.read_notes(spark, str(tmp_path), "C.txt")
-    assert sorted(map(tuple, files.with_translations(spark, all_notes, str(tmp_path / "eng")).collect())) == [("A", "eng A"), ("B", "ita B")]
+    assert sorted(map(tuple, files.with_translations(spark, all_notes, str(tmp_path / "eng")).collect())) == [("A", "eng A", True), ("B", "ita B", False)]
     assert [tuple(r) for r in files.read_references(spark, str(tmp_path / "rec")).collect()] == [("A", "rec A")]
     out = all_notes.select(F.concat("stem", F.lit("_output.txt")).alias("name"), F.col("text").alias("output"))
     files.write_texts(out, f"file://{tmp_path}/out", "name")
@@ -89,6 +89,140 @@ def test_both_programs(spark):
     assert len(out) == 1 and out[0]["template"] == "admission" and "[E1] (g" in out[0]["output"] and out[0]["output"] == out[0]["prompt"]
 
 
+NOTE = "{0}\nMedical history:\n- Pathological proximate: {1}. \n- Remote pathology: no fever.\n\nObjective examination:\nok.\n\nClinical diary:\n- Scan done.\n- Rest.\n\nDiagnosis: {2}\nPrognosis: {3}\n"
+CASES = {
+    "A": ("MALE, 71 AA", "asthma", "COUGH.", "admission to the ward"), "B": ("FEMALE, 2 AA", "pain", "FEVER", "home"), "C": ("WOMAN, 27 years old", "cough", "", "30 days"), "D": ("Other, 8 months", "asthma and pain", "RASH", "URGENT HOSPITALISATION"),
+}
+
+
+def test_programs_over_files(spark, tmp_path):
+    """PDF files to an index, note files to output and query files, with every setting in use and the shared folder empty at the end."""
+    from lamina.plans import programs
+    from lamina.session import scope, shared_dir
+
+    words = ["asthma", "fever", "cough", "pain", "scan", "drug", "dose", "rest"]
+    (tmp_path / "pdf").mkdir()
+    for k in range(4):
+        page = lambda n, k=k: "|".join(". ".join(f"Patients with {words[(i + k + n) % 8]} and {words[(i * 3 + k) % 8]} have plan {i} of guide {k} page {n}" for i in range(j, j + 6)) + "." for j in range(0, 30, 6))
+        (tmp_path / "pdf" / f"g{k}.pdf").write_text("\f".join(page(n) for n in range(3)))
+    (tmp_path / "pdf" / "bad.pdf").write_text("short\fshort\f" + page(7))
+
+    def reader():
+        return lambda content: ((n, i, 100.0, 100.0, 300.0, 120.0, 600.0, 800.0, t) for n, p in enumerate(content.decode().split("\f"), 1) for i, t in enumerate(p.split("|")))
+
+    ita, eng, ref = tmp_path / "ita", tmp_path / "eng", tmp_path / "ref"
+    for folder in (ita, eng, ref):
+        folder.mkdir()
+    for stem, case in CASES.items():
+        (ita / f"{stem}.txt").write_text("it:" + NOTE.format(*case))
+    (eng / "translationA.txt").write_text(NOTE.format(*CASES["A"]))
+    (ref / "A_rec.txt").write_text("said by the physician")
+    gazetteer = spark.createDataFrame([("asthma", "DISEASE_DISORDER"), ("fever", "DISEASE_DISORDER"), ("pain", "MEDICATION"), ("scan", "DIAGNOSTIC_PROCEDURE")], "term string, etype string")
+    at, out = f"{tmp_path}/index", f"file://{tmp_path}/out"
+    with scope(spark):
+        index = programs.build_index(spark, str(tmp_path / "pdf"), at, Settings(max_chars=300, embedding_dim=32), reader)
+        n = index.count()
+        assert n > 20 and len(index.first()["embedding"]) == 32 and len("".join(p.read_text() for p in (tmp_path / "index/chunks").glob("part-*")).split("\n\n\n")) == n + 1
+        assert [r["doc_id"] for r in spark.read.parquet(f"{at}/warnings").collect()] == ["bad"]
+        with pytest.raises(ValueError):
+            (tmp_path / "none").mkdir()
+            programs.answer_notes(spark, str(tmp_path / "none"), at, out, gazetteer)
+        settings = Settings(embedding_dim=32, final_n=5, retrieval_k=8, retrieval_only=False, backend="local")
+        said = programs.answer_notes(spark, str(ita), at, out, gazetteer, settings, translations=f"file://{eng}", references=str(ref), translator=lambda: lambda t: t.removeprefix("it:"), back=lambda: lambda t: t + " (it)", load=lambda: lambda p: p + f"letter of {p.count('[E')}")
+        assert {r["stem"] for r in said.collect()} == set(CASES)
+    texts = {p.name: p.read_text() for p in (tmp_path / "out/output").iterdir()}
+    assert texts == {"A_output.txt": "letter of 5 (it)\n\n" + "=" * 60 + "\nORIGINAL RECOMMENDATIONS (for comparison)\n" + "=" * 60 + "\nsaid by the physician"} | {f"{s}_output.txt": "letter of 5 (it)" for s in "BCD"}
+    assert sorted(p.name for p in eng.iterdir() if p.suffix == ".txt" and p.name[0] != ".") == [f"translation{s}.txt" for s in "ABCD"] and (eng / "translationC.txt").read_text() == NOTE.format(*CASES["C"])
+    asked = {p.name[0]: p.read_text() for p in (tmp_path / "out/queries").iterdir()}
+    assert asked["A"].endswith("COUGH. recommendations discharge management elderly male\n\n") and "asthma. COUGH.. diagnosis" in asked["A"] and "Scan done. COUGH.. findings" in asked["A"]
+    assert asked["B"].endswith("FEVER recommendations discharge management pediatric female\n\n") and asked["D"].endswith("RASH recommendations discharge management neonatal \n\n")
+    assert asked["C"].count("--- Query") == 2 and "asthma" not in asked["C"]
+    with scope(spark):  # retrieval only: the prompt is the output, and the reference text stays away
+        one = programs.answer_notes(spark, str(ita), at, out, gazetteer, Settings(embedding_dim=32), name="A.txt", translations=f"file://{eng}", references=str(ref)).collect()
+    assert len(one) == 1 and one[0]["output"].startswith("ROLE:") and "ORIGINAL" not in one[0]["output"]
+    excerpts = [set(e.split("\n\n", 1)[1].lower().split()) for e in one[0]["output"].split("[E")[1:]]
+    assert 1 <= len(excerpts) <= 10 and all(len(a & b) / min(len(a), len(b)) < 0.8 for i, a in enumerate(excerpts) for b in excerpts[:i])
+    damaged = spark.read.parquet(f"{at}/index").filter("chunk_id <> 1")
+    damaged.write.parquet(f"{tmp_path}/damaged/index")
+    with pytest.raises(ValueError):
+        programs.load_index(spark, f"{tmp_path}/damaged")
+    assert shared_dir(spark)
+
+
+def test_tables_live_as_long_as_their_scope(spark):
+    import os
+
+    from lamina.session import scope, shared_dir, stored
+
+    folder = shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    outer = stored(spark.range(3), "outer")
+    with scope(spark):
+        inner = stored(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3 and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_remote_generator_against_a_stub():
+    import json
+    import threading
+    import urllib.error
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append((self.headers["Authorization"], body))
+            said = {"ask": {"choices": [{"message": {"content": "answer"}}]}, "err": {"error": "no credit"}}.get(body["messages"][0]["content"])
+            self.send_response(200 if said else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps(said or {}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = models.make_generator("remote", url=f"http://127.0.0.1:{server.server_port}", key="k", model="m", temperature=0.1, max_tokens=7, reasoning=True)()
+    assert model("ask") == "answer"
+    assert got[0] == ("Bearer k", {"model": "m", "messages": [{"role": "user", "content": "ask"}], "temperature": 0.1, "max_tokens": 7, "reasoning": {"enabled": True}})
+    with pytest.raises(RuntimeError):
+        model("err")
+    with pytest.raises(urllib.error.HTTPError):
+        model("fail")
+    server.shutdown()
+
+
+def test_gated_packages_by_stand_ins(monkeypatch):
+    import sys
+    import types
+    from contextlib import contextmanager
+
+    fake = lambda name, **kw: monkeypatch.setitem(sys.modules, name, types.SimpleNamespace(**kw))
+    fake("llama_cpp", Llama=lambda **kw: types.SimpleNamespace(create_completion=lambda p, **more: {"choices": [{"text": f"{kw['model_path']} {p} {more['max_tokens']}"}]}))
+    assert models.local_model("llama_cpp", "f.gguf", 9)()("hi") == "f.gguf hi 9"
+    fake("transformers", pipeline=lambda kind, model: lambda p, **kw: [{"generated_text": f"{p} by {model}"}])
+    assert models.make_generator("local", load=models.local_model("transformers", "m"))()("hi") == "by m"
+    fake("deepl", DeepLClient=lambda key: types.SimpleNamespace(translate_text=lambda text, **kw: types.SimpleNamespace(text=f"{key} {text} {sorted(kw.items())}")))
+    assert models.make_translator("k", "IT", "EN-GB", glossary="g", formality="more")()("t") == "k t [('formality', 'more'), ('glossary', 'g'), ('source_lang', 'IT'), ('target_lang', 'EN-GB')]"
+    for bad in (lambda: models.local_model("other", "m"), lambda: models.make_translator("", "IT", "EN")):
+        with pytest.raises(ValueError):
+            bad()
+
+    page = types.SimpleNamespace(get_text=lambda kind: [(1.0, 2.0, 3.0, 4.0, f"{kind} text", 0, 0)], rect=types.SimpleNamespace(width=600.0, height=800.0))
+
+    @contextmanager
+    def opened(stream, filetype):
+        assert (stream, filetype) == (b"pdf", "pdf")
+        yield [page, page]
+
+    fake("fitz", open=opened)
+    assert list(files._pymupdf()(b"pdf")) == [(n, 0, 1.0, 2.0, 3.0, 4.0, 600.0, 800.0, "blocks text") for n in (1, 2)]
+
+
 def test_stream_of_notes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "A.txt").write_text("MALE, 71 AA\nDiagnosis: X\nPrognosis: y")

@@ -151,6 +151,21 @@ def test_search_and_merge(spark):
         rerank.require_rows(i.limit(0), "search")
 
 
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_search_in_blocks_against_brute_force(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", block)
+    r = np.random.default_rng(2)
+    x, q = r.standard_normal((300, 8)), r.standard_normal((11, 8))
+    x[200:] = x[100]  # many equal vectors
+    q[5] = x[100]
+    i = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(k // 3, k % 3, v.tolist()) for k, v in enumerate(q)], "note_id long, q_no int, embedding array<double>")
+    want = [(k // 3, k % 3, rank + 1, j) for k, v in enumerate(q) for rank, (_, j) in enumerate(sorted((-float((x[j] * v).sum()), j) for j in range(300))[:7])]
+    assert sorted((r["note_id"], r["q_no"], r["rank"], r["chunk_id"]) for r in vectors.top_k(asked, i, 7).collect()) == want
+
+
 def test_primary_sources(spark):
     pool = lambda *docs: spark.createDataFrame([(0, k, d) for k, d in enumerate(docs)], "note_id long, chunk_id long, doc_id string")
     of = lambda df, ratio: sorted(r["doc_id"] for r in rerank.primary_sources(df, ratio).filter("is_primary").collect())
