@@ -23,6 +23,8 @@ from .common import per_batch, raw, scratch_path, stored, table, tune
 from .tokens import default_vocabulary, word_ids
 
 BLOCK = 4096
+#: Documents of a file, which its footer lists and its writer holds.
+FILE_DOCS = 1 << 20
 MARK = b"IDB1"
 
 
@@ -129,38 +131,57 @@ class Reader:
             i = j
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: tuple[int, ...] = (1,)) -> DataFrame:
-    """Encode documents (doc_id, text) into files of ascending doc_id, null ones first, one file per range of ids.
+def encoded(docs: DataFrame, vocabulary: str, end: tuple[int, ...] = (1,)) -> DataFrame:
+    """(doc_id, ids) for each row: the ids as bytes, little-endian, of the least whole width."""
 
-    Returns (shard, path, n_docs, n_ids), stored. A null text counts as empty; repeated rows are all written, equal ids
-    in any order. Each task writes under a name of its own and renames the file when it is whole, so a task that runs
-    again only replaces its file by an equal one.
+    def encode(batch: pa.RecordBatch) -> dict:
+        ids = word_ids(vocabulary)
+        return {"doc_id": batch.column(0), "ids": [ids.ids(text, *end).tobytes() for text in raw(batch.column(1))]}
+
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), encode, "doc_id long, ids binary")
+
+
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: tuple[int, ...] = (1,), most: int = FILE_DOCS) -> DataFrame:
+    """Encode documents (doc_id, text) into files of ascending doc_id, null ones first, at most so many documents to a file.
+
+    Returns (shard, part, path, n_docs, n_ids), stored. A null text counts as empty; repeated rows are all written, equal
+    ids in any order. Texts are encoded where they are read, and only ids are sorted; rows of one doc_id, however many,
+    are dealt by their places. Each task writes under a name of its own and renames a file when it is whole, so a task
+    that runs again only replaces its files by equal ones.
     """
     spark = docs.sparkSession
     tune(spark)
+    known = stored(encoded(docs, vocabulary, end), "encoded")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, to, n = word_ids(vocabulary), None, TaskContext.get().partitionId()
+        ids, to, n, part = word_ids(vocabulary), None, TaskContext.get().partitionId(), 0
+
+        def close() -> pa.RecordBatch:
+            n_docs, n_ids = to.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([n], pa.int32()), "part": pa.array([part], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+
         for batch in batches:
-            to = to or Writer(path := f"{folder}/shard-{n:06d}.idb", ids.size)
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                to.add(doc_id, ids.ids(text, *end))
+            for doc_id, own in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                to = to or Writer(path := f"{folder}/shard-{n:06d}-{part:04d}.idb", ids.size)
+                to.add(doc_id, np.frombuffer(own, ids.kind))
+                if len(to.docs) >= most:
+                    yield close()
+                    to, part = None, part + 1
         if to:
-            n_docs, n_ids = to.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([n], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield close()
 
     fs, name = pafs.FileSystem.from_uri(folder)
     fs.create_dir(name)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stored(ranged.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "shards")
+    ranged = known.select("doc_id", "ids", F.col("_metadata.row_index").alias("row")).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    return stored(ranged.select("doc_id", "ids").mapInArrow(write, "shard int, part int, path string, n_docs long, n_ids long"), "shards")
 
 
 def read_ids(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, start counting over all files."""
     n = max(1, shards.count())
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = shards.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("start")).repartition(n)  # one row a file
 
     def read(batch: pa.RecordBatch) -> dict:
