@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
-import xxhash
 from lamina.llm import mixing, neighbours, quality, toxicity, url_filter
 from lamina.llm.common import stored
 
@@ -321,13 +320,13 @@ def test_mixing_of_a_whole_table(spark):
     assert rows.keys() == known.keys()
     cells, of = {}, {}
     for d, r in known.items():
-        v = np.zeros(mixing.WIDTH)
-        for w in r["text"].encode().split():
-            v[xxhash.xxh3_64_intdigest(w) % mixing.WIDTH] += 1
+        v, ids = np.zeros(mixing.WIDTH), library_ids(r["text"]).tolist()
+        for i in ids:
+            v[i % mixing.WIDTH] += 1
         v = np.log1p(v) / np.sqrt((np.log1p(v) ** 2).sum())
         near = topics.centroids @ (v - topics.means.get(r["lang"], topics.mean))
         assert near[rows[d]["topic"]] >= near.max() - 1e-9
-        assert rows[d]["tokens"] == len(library_ids(r["text"]))
+        assert rows[d]["tokens"] == len(ids)
         of[d] = c = (r["source"], r["lang"], rows[d]["topic"])
         cells[c] = cells.get(c, 0) + rows[d]["tokens"]
     goals = []
@@ -349,8 +348,8 @@ def test_mixing_of_a_whole_table(spark):
 def test_learned_topics_are_found_again():
     """Texts of two subjects in two languages: the subject is told, not the language."""
     r = np.random.default_rng(7)
-    words = {(s, g): [f"{s}{g}{i}".encode() for i in range(40)] for s in "ab" for g in ("en", "de")} | {g: [f"{g}{i}".encode() for i in range(60)] for g in ("en", "de")}
-    made = [(s, g, [words[s, g][i] for i in r.integers(0, 40, 60)] + [words[g][i] for i in r.integers(0, 60, 80)]) for s in "ab" for g in ("en", "de") for _ in range(50)]
+    ids = {k: r.integers(0, 40_000, 40) for k in [(s, g) for s in "ab" for g in ("en", "de")] + ["en", "de"]}
+    made = [(s, g, np.concatenate([ids[s, g][r.integers(0, 40, 60)], ids[g][r.integers(0, 40, 80)]])) for s in "ab" for g in ("en", "de") for _ in range(50)]
     topics = mixing.learn(np.stack([mixing.vector(w) for *_, w in made]), [g for _, g, _ in made], 4)
     told = {(s, topics.of(w, g)) for s, g, w in made}
     assert len({t for _, t in told}) == len(told) <= 4

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -12,11 +13,15 @@ from lamina.llm.tokens import default_vocabulary, word_ids
 from .conftest import CLASHES, DATA, edge_rows
 
 
-def library_ids(text, *end):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_vocabulary())
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, *end], "<u4")
+    return Tokenizer.from_file(default_vocabulary())
+
+
+def library_ids(text, *end):
+    return np.array([*library().encode(text or "", add_special_tokens=False).ids, *end], "<u4")
 
 
 def test_ids_of_words_are_those_of_the_whole_text():
