@@ -200,7 +200,16 @@ def chunk_documents(s, d):
     return segment.chunk(sentences(s, d))
 
 
-@query("chunk_across_documents")
+view(
+    "stream_v",
+    "SELECT ds, ps, ss, list_reduce(generate_series(1, len(ss)), lambda a, i: CASE WHEN i > a.s AND a.n + ns[i] > 1200 THEN {'s': greatest(a.s, i - 2), 'n': list_sum(ns[greatest(a.s, i - 2):i])::BIGINT, 'f': i, 'out': list_append(a.out, {'s': a.s, 'e': i - 1, 'f': a.f})} ELSE {'s': a.s, 'n': a.n + ns[i], 'f': a.f, 'out': a.out} END, "
+    "{'s': 1::BIGINT, 'n': 0::BIGINT, 'f': 1::BIGINT, 'out': [{'s': 0::BIGINT, 'e': 0::BIGINT, 'f': 0::BIGINT}]}) AS f FROM "
+    "(SELECT list(doc_id ORDER BY doc_id, page, i) AS ds, list(page ORDER BY doc_id, page, i) AS ps, list(s ORDER BY doc_id, page, i) AS ss, list(length(s) ORDER BY doc_id, page, i) AS ns FROM (SELECT doc_id, page, i, ss[i] AS s FROM (SELECT doc_id, page, ss, unnest(generate_series(1, len(ss))) AS i FROM sent_v)))",
+    "sent_v",
+)
+
+
+@query("chunk_across_documents", "SELECT ds[o[k].f] AS doc_id, (k - 1)::INT AS chunk_no, ps[o[k].f] AS page_start, ps[o[k].e] AS page_end, array_to_string(ss[o[k].s:o[k].e], ' ') AS text FROM (SELECT ds, ps, ss, o, unnest(generate_series(1, len(o))) AS k FROM (SELECT ds, ps, ss, list_append(f.out[2:], {'s': f.s, 'e': len(ss)::BIGINT, 'f': f.f}) AS o FROM stream_v))")
 def chunk_across_documents(s, d):
     return segment.chunk(sentences(s, d), carry_across_docs=True)
 
@@ -332,7 +341,12 @@ def single_query_rerank(s, d):
     return rerank.single_query_rerank(pairs(s, d, p := pool(s, d)), p)
 
 
-@query("mmr_select")
+_gain = "list_transform(generate_series(1, len(cs)), lambda i: CASE WHEN list_contains(acc, i) THEN -1e300::DOUBLE ELSE 0.5::DOUBLE * cs[i].sim - 0.5::DOUBLE * CASE WHEN len(acc) = 0 THEN 0::DOUBLE ELSE list_max(list_transform(acc, lambda j: list_inner_product(cs[i].e, cs[j].e))) END END)"
+view("wide_v", "SELECT note_id, q_no, list({'id': chunk_id, 'sim': score, 'e': embedding::DOUBLE[]} ORDER BY score DESC, chunk_id) AS cs FROM (SELECT * FROM met_v QUALIFY row_number() OVER (PARTITION BY note_id, q_no ORDER BY score DESC, chunk_id) <= 30) JOIN chunk_v USING (chunk_id) GROUP BY note_id, q_no", "met_v", "chunk_v")
+view("picked_v", f"SELECT note_id, q_no, cs, list_reduce(generate_series(1, 15), lambda acc, step: CASE WHEN len(acc) >= len(cs) THEN acc ELSE list_append(acc, list_position({_gain}, list_max({_gain}))::BIGINT) END, [0::BIGINT][1:0]) AS chosen FROM wide_v", "wide_v")
+
+
+@query("mmr_select", "SELECT note_id, q_no, k::INT AS mmr_rank, cs[chosen[k]].id AS chunk_id FROM (SELECT note_id, q_no, cs, chosen, unnest(generate_series(1, len(chosen))) AS k FROM picked_v)")
 def mmr_select(s, d):
     asked = v.searching(s, d).select("note_id", "q_no", F.col("embedding").alias("q_embedding"))
     found = vectors.top_k(v.searching(s, d), v.chunks(s, d), 30).join(v.chunks(s, d).select("chunk_id", "embedding"), "chunk_id").join(asked, ["note_id", "q_no"])
