@@ -1,8 +1,13 @@
 """The stages on a small table, each against what brute force says of its own input."""
 
+import os
+
 import corpus_pipeline
-from lamina.llm import near_dedup, packing, toxicity
+import pytest
+from lamina.llm import near_dedup, toxicity
 from lamina.llm.common import table
+from lamina.llm.registry import QUERIES
+from lamina.session import scope, shared_dir
 from pyspark.sql import functions as F
 
 from .conftest import DATA, edge_rows
@@ -43,21 +48,33 @@ def test_stages(spark, tmp_path):
             check_places(after, 2048)
 
 
-def test_odd_rows_pass(spark, edges, nothing):
-    for docs in (edges, nothing):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            if name == "toxicity":
-                continue  # its labels are those of a folder
-            out = stage(spark, docs, DATA)
-            assert out.columns == docs.columns
-            out.collect()
-        assert packing.pack_documents(docs).count() >= docs.count()
-    kept = corpus_pipeline.drop_near_copies(spark, edges, DATA)
-    assert kept.filter(F.col("doc_id").isNull()).count() == sum(r[0] is None for r in edge_rows())
+@pytest.mark.parametrize("which", ["edges", "clashing", "nothing"])
+def test_odd_rows_pass(spark, edges, clashing, nothing, which):
+    """Every stage on odd rows, with the labels of a folder; columns that clash with the operators' own stay outside."""
+    docs = {"edges": edges, "clashing": clashing, "nothing": nothing}[which]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        rows = out.collect()
+        assert bool(rows) == (which != "nothing") and len(rows) <= docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert len(packed) >= docs.count() and sum(r["length"] for r in packed) == sum(len(library_ids(r["text"], 0)) for r in docs.select("text").collect())
+    check_places(packed, 2048)
+    if which == "edges":
+        kept = corpus_pipeline.drop_near_copies(spark, edges, DATA)
+        assert kept.filter(F.col("doc_id").isNull()).count() == sum(r[0] is None for r in edge_rows())
 
 
-def test_query(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+def test_query_and_its_tables(spark):
+    """A result that is still to be fetched outlives a pipeline run beside it, and nothing is left in the shared folder."""
+    folder = shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    with scope(spark):
+        held = QUERIES["op8_url_filter"](spark, DATA)
+        assert corpus_pipeline.run(spark, DATA).count() > 0
+        assert held.count() == table(spark, DATA, "pages").count()
+    assert set(os.listdir(folder)) == before
 
 
 def test_near_copies_from_four_fifths_on(spark):
