@@ -271,9 +271,11 @@ def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     met = docs.join(members.select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("key"), "a").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "key", "a")
     several = F.col("doc_id") != F.col("key")
+    once = lambda df: df.groupBy("doc_id", "key").agg(F.first("text").alias("text")).select(F.col("key").alias("doc_id"), "text")
+    if members.filter("doc_id <> rep").isEmpty():
+        return stored(once(met), "texts")
     sure = met.filter(~several).select("doc_id", "text", "key")
     told = per_batch(met.filter(several), own, "doc_id long, text string, key long")
-    once = lambda df: df.groupBy("doc_id", "key").agg(F.first("text").alias("text")).select(F.col("key").alias("doc_id"), "text")
     return stored(once(sure).unionByName(once(told)), "texts")
 
 
