@@ -10,8 +10,9 @@ candidate survives:
   disagree are spelled out window by window, keyed by the hashes of both halves (128 bits). These windows are what is
   removed.
 * Twice the length, four times, and so on: the same two steps, over the documents that hold a window of which both
-  halves repeat. They tell how long a document's repeats are (levels(), and remove_repeats() where asked for); they remove
-  nothing more, as a longer repeat is a run of repeated windows of the length.
+  halves repeat, and all windows between them, as those of a repeat do. They tell how long a document's repeats are
+  (levels(), and remove_repeats() where asked for); they remove nothing more, as a longer repeat is a run of repeated
+  windows of the length. The query goes through all of them; the pipeline's stage ends at the length.
 
 All groups are reduced by partial aggregates of fixed size, and rows find their group's result by a join that adaptive
 execution splits where a key is hot.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scope
+from ..session import drop, recorded, scope
 from .common import fresh, int64, joined, lists, per_batch, raw, scratch_path, stored, table, tune, windows, word_hashes
 
 WINDOW = 50
@@ -165,7 +166,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def extensible(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at): windows of twice the length of which both halves are among those found; documents with none don't appear. Texts aren't needed."""
+    """(doc_id, at): windows of twice the length of which both halves, and every window between, are among those found; documents with none don't appear. Texts aren't needed."""
 
     def pair(batch: pa.RecordBatch) -> dict:
         ids, out = [], []
@@ -174,10 +175,10 @@ def extensible(found: DataFrame, window: int) -> DataFrame:
             kept = []
             for mark in np.unique(at >> PLACE + COUNT).tolist():
                 have = _places(at[at >> PLACE + COUNT == mark])
-                have = have[np.isin(have + window, have, assume_unique=True)]
-                if len(have):
-                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(have) != 1]))
-                    first_, count = split_runs(have[cuts], np.diff(np.concatenate([cuts, [len(have)]])), (1 << COUNT) - 1)
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(have) != 1]))
+                count = np.diff(np.concatenate([cuts, [len(have)]])) - window
+                if (count > 0).any():
+                    first_, count = split_runs(have[cuts[count > 0]], count[count > 0], (1 << COUNT) - 1)
                     kept.append(packed(mark, first_, count))
             if kept:
                 ids.append(doc_id)
@@ -189,18 +190,25 @@ def extensible(found: DataFrame, window: int) -> DataFrame:
 
 def levels(docs: DataFrame, window: int = WINDOW) -> Iterator[tuple[int, DataFrame]]:
     """(length, repeated() as a stored table) for the window and its doublings, until no candidate survives. docs: (doc_id long, text)."""
-    found, texts = settled(lambda: repeated(docs, window), docs, f"level-{window}"), docs
+    found, texts, made = settled(lambda: repeated(docs, window), docs, f"level-{window}"), docs, []
     yield window, found
-    while True:
-        further = stored(extensible(found, window), "further")
-        if further.isEmpty():
-            return
-        window *= 2
-        # only texts that still take part go on to the next level
-        texts = stored(texts.join(further.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at"), "texts")
-        found = settled(lambda: repeated(texts, window), docs, f"level-{window}")  # noqa: B023
-        texts = texts.select("doc_id", "text")
-        yield window, found
+    try:
+        while True:
+            with recorded(now := []):
+                further = stored(extensible(found, window), "further")
+                if further.isEmpty():
+                    made += now
+                    return
+                window *= 2
+                # only texts that still take part go on to the next level; those of the one before go
+                texts = stored(texts.join(further.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at"), "texts")
+            drop(docs.sparkSession, made)
+            made = now
+            found = settled(lambda: repeated(texts, window), docs, f"level-{window}")  # noqa: B023
+            texts = texts.select("doc_id", "text")
+            yield window, found
+    finally:
+        drop(docs.sparkSession, made)
 
 
 def settled(make: Callable[[], DataFrame], docs: DataFrame, name: str) -> DataFrame:
@@ -309,7 +317,8 @@ def _without(text: bytes, words: list[bytes], drop: np.ndarray) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """The contract's columns. The longer levels are gone through until no candidate survives; they change nothing in these."""
+    return remove_repeats(table(spark, sf_dir, "documents"), deep=True).drop("longest_repeat")
 
 
 def oracle_sql(window: int = WINDOW) -> str:

@@ -10,7 +10,7 @@ import pytest
 from lamina.llm import components, near_dedup, substring_dedup
 from lamina.llm.common import stored
 
-from .conftest import DATA, edge_rows, prose
+from .conftest import DATA, SCHEMA, edge_rows, prose
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -135,6 +135,22 @@ def test_candidates_of_each_level(spark):
     assert {r["doc_id"]: r["longest_repeat"] for r in substring_dedup.remove_repeats(docs, deep=True).collect()} == {0: 0, 1: 50, 2: 0, 3: 100, 4: 0, 5: 200, 6: 0, 7: 400, 20: 0}
 
 
+def test_query_goes_through_all_levels(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(prose(100 + i, 30) + prose(50, 430) + prose(200 + i, 30)), "en", "src0", 0) for i in range(3)] + [(9, " ".join(prose(90, 900)), "en", "src0", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, levels = [], substring_dedup.levels
+
+    def noted(*args):
+        for n, found in levels(*args):
+            seen.append((n, found.filter("size(later) > 0").count()))
+            yield n, found
+
+    monkeypatch.setattr(substring_dedup, "levels", noted)
+    out = substring_dedup.op1_substring_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert got(out, *out.columns) == sorted(brute_repeats(rows), key=repr) and seen == [(50, 2), (100, 2), (200, 2), (400, 2)]
+
+
 def test_runs_of_very_long_texts_are_told_apart():
     """Places up to those of the longest text that a string can hold, without a cap."""
     first, count = np.array([0, (1 << 26) + 5, (1 << 30) - 1]), np.array([1, 63, 7])
