@@ -24,6 +24,8 @@ from .tokens import default_vocabulary, word_ids
 
 BLOCK = 4096
 MARK = b"IDB1"
+#: Documents of a file, about; beyond so many files each gets more documents.
+DOCS, RANGES = 4096, 10_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -129,31 +131,50 @@ class Reader:
             i = j
 
 
+def bounds_of(docs: DataFrame) -> np.ndarray:
+    """Greatest ids of all ranges but the last, which hold about DOCS rows each; null ids belong to the first range."""
+    rows = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n = min(RANGES, -(-rows // DOCS))
+    if n < 2:
+        return np.zeros(0, np.int64)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("cuts")).first()["cuts"]
+    return np.unique(np.array(cuts or [], np.int64))
+
+
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: tuple[int, ...] = (1,)) -> DataFrame:
     """Encode documents (doc_id, text) into files of ascending doc_id, null ones first, one file per range of ids.
 
     Returns (shard, path, n_docs, n_ids), stored. A null text counts as empty; repeated rows are all written, equal ids
-    in any order. Each task writes under a name of its own and renames the file when it is whole, so a task that runs
-    again only replaces its file by an equal one.
+    in any order. Texts are encoded where they are read, once, and only their ids are dealt and sorted: the ranges are
+    known from the doc_ids beforehand. Each task writes under a name of its own and renames the file when it is whole, so
+    a task that runs again only replaces its file by an equal one.
     """
     spark = docs.sparkSession
     tune(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounds = bounds_of(docs)
+
+    def encode(batch: pa.RecordBatch) -> dict:
+        ids, doc_id = word_ids(vocabulary), batch.column(0)
+        part = np.where(doc_id.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, doc_id.fill_null(0).to_numpy(zero_copy_only=False)), 0)
+        return {"range": part.astype(np.int32), "doc_id": doc_id, "ids": [ids.ids(text, *end).tobytes() for text in raw(batch.column(1))]}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         ids, to, n = word_ids(vocabulary), None, TaskContext.get().partitionId()
+        ids.forget()
         for batch in batches:
             to = to or Writer(path := f"{folder}/shard-{n:06d}.idb", ids.size)
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                to.add(doc_id, ids.ids(text, *end))
+            for doc_id, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                to.add(doc_id, np.frombuffer(own.as_buffer(), ids.kind))
         if to:
             n_docs, n_ids = to.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([n], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     fs, name = pafs.FileSystem.from_uri(folder)
     fs.create_dir(name)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ranged = per_batch(docs, encode, "range int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("doc_id")
     return stored(ranged.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "shards")
 
 

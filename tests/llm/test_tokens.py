@@ -47,6 +47,23 @@ def test_id_files(spark, edges, clashing, which):
     assert [d for d in order if d is not None] == sorted(d for d in order if d is not None) and None not in order[order.count(None) :]
 
 
+def test_id_files_are_sorted_without_texts(spark, monkeypatch):
+    """Texts are encoded before anything is dealt or sorted, so a file's task holds ids only; files are ranges of about DOCS documents."""
+    seen, docs = [], spark.read.parquet(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(binary_ids, "DOCS", 40)
+    monkeypatch.setattr(binary_ids, "stored", lambda df, name: seen.append(df) or stored(df, name))
+    shards = binary_ids.write_ids(docs, scratch_path(spark, "ids"), default_vocabulary())
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "Repartition" in line)
+    assert [i < dealt for i, line in enumerate(plan) if "MapInArrow" in line] == [True, False]
+    sizes = [r["n_docs"] for r in shards.orderBy("shard").collect()]
+    assert len(sizes) > 1 and sum(sizes) == docs.count() and max(sizes) <= 60
+    w = word_ids(default_vocabulary())
+    w.ids(b"some words, cached")
+    w.forget()
+    assert not w and not w.parts and w.ids(b"some words").tolist() == library_ids("some words").tolist()
+
+
 def test_id_files_of_nothing(spark, nothing):
     assert binary_ids.read_ids(binary_ids.write_ids(nothing, scratch_path(spark, "ids"), default_vocabulary())).count() == 0
 
