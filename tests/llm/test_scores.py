@@ -10,6 +10,8 @@ import pandas as pd
 import pytest
 from lamina.llm import mixing, neighbours, quality, toxicity, url_filter
 from lamina.llm.common import stored
+from lamina.llm.tokens import default_vocabulary, word_ids
+from pyspark.sql import functions as F
 
 from .conftest import DATA, edge_rows
 from .test_tokens import library_ids
@@ -355,6 +357,26 @@ def test_learned_topics_are_found_again():
     assert len({t for _, t in told}) == len(told) <= 4
 
 
+def test_topics_are_learned_from_all_texts(spark):
+    """What the passes over files learn is what plain arithmetic learns from every different text, beyond any sample's size."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in (r.integers(0, 60, 12) + 60 * (i % 5)).tolist()), ("en", "de", None)[i % 3]) for i in range(4_600)]
+    rows += [(5_000 + i, rows[0][1], "de") for i in range(200)] + [(6_000, " \t", "en"), (6_001, None, None), (6_002, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).repartition(7)
+    seen = {}
+    for h, text, lang in docs.select(F.xxhash64("text"), "text", F.coalesce("lang", F.lit(""))).collect():
+        if (text or "").strip():
+            seen[h] = min(seen.get(h, (lang, text)), (lang, text))
+    ids = word_ids(default_vocabulary())
+    x = np.stack([np.round(mixing.vector(ids.ids(seen[h][1].encode())) * mixing.GRID) / mixing.GRID for h in sorted(seen)])
+    want, got = mixing.learn(x, [seen[h][0] for h in sorted(seen)]), mixing.fit_topics(docs)
+    assert len(x) > 4_500 and want.means.keys() == got.means.keys()
+    assert all(np.allclose(want.means[v], got.means[v], atol=1e-12) for v in want.means)
+    assert np.allclose(want.mean, got.mean, atol=1e-12) and np.allclose(want.centroids, got.centroids, atol=1e-9)
+    again = mixing.fit_topics(docs.repartition(3))
+    assert np.array_equal(again.centroids, got.centroids)
+
+
 def test_mixing_of_odd_tables(spark, edges, clashing, nothing):
     assert mixing.sampled(clashing).columns == clashing.columns and mixing.mixed(edges).count() == len(edge_rows())
     assert all(r["kept"] and r["topic"] == -1 for r in mixing.mixed(edges).collect() if not r["tokens"])
