@@ -84,3 +84,18 @@ def test_near_copies_from_four_fifths_on(spark):
     want, strict = ({d for d, c in zip(ids, brute_components(ids, sets, percent), strict=True) if d == c} for percent in (80, 85))
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, LARGER).collect()} == want
     assert want < strict
+
+
+def test_mixing_stage_learns_from_every_text(spark, monkeypatch):
+    from lamina.llm import mixing
+
+    made = []
+
+    class Noted(mixing.Vectors):
+        def __init__(self, counted):
+            super().__init__(counted)
+            made.append(self.n)
+
+    monkeypatch.setattr(mixing, "Vectors", Noted)
+    docs = spark.createDataFrame([(i, f"text {i % 4500} of {i % 7} and {i % 11}", "en", "s", 9) for i in range(4500)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.mix(spark, docs, "").count() > 0 and made == [4500]
