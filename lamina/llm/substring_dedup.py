@@ -35,12 +35,15 @@ from .common import fresh, int64, joined, lists, per_batch, raw, scratch_path, s
 WINDOW = 50
 #: Bits of a packed run: the first window's place and the number of windows; above them the text's mark. A text has less than 2 ** 31 bytes and so less than 2 ** 30 words.
 PLACE, COUNT = 30, 6
+#: Windows of a run at the longer levels, at most. Nearly all repeat there, so short runs that end alike leave less to spell out than whole stands would.
+STEP = 8
 
 
 class Passage:
     """A text's windows: the halves' hashes g, and each full window's stand, the least of the halves within it."""
 
-    def __init__(self, text: bytes, window: int):
+    def __init__(self, text: bytes, window: int, step: int = 0):
+        """step: if given, the stand also tells where it is within the window, to so many words; so runs end at the same places wherever a passage stands."""
         self.words, self.half = text.split(), window // 2
         self.n = len(self.words) - window + 1
         if self.n > 0:
@@ -51,6 +54,18 @@ class Passage:
                 have *= 2
             self.stand = m if have == need else np.minimum(m[: len(m) - (need - have)], m[need - have :])
             self.stand = self.stand[: self.n]
+            if step:
+                self.stand = joined(self.stand, (self.places(need) // step).astype(np.uint64))
+
+    def places(self, need: int) -> np.ndarray:
+        """How far within each window its least half window begins, the first of equal ones."""
+        m, at, have = self.g, np.arange(len(self.g)), 1
+        while have < need:
+            by = min(have, need - have)
+            left = m[: len(m) - by] <= m[by:]
+            m, at = np.where(left, m[: len(m) - by], m[by:]), np.where(left, at[: len(at) - by], at[by:])
+            have += by
+        return at[: self.n] - np.arange(self.n)
 
     def runs(self, most: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First window and number of windows of each run of one stand, among the windows within if given; at most so many to a run, so that its first and last window overlap and tell it whole."""
@@ -110,7 +125,7 @@ def runs_of(docs: DataFrame, window: int) -> DataFrame:
         for doc_id, text, only in zip(batch.column(0).to_pylist(), raw(batch.column(1)), given, strict=True):
             if only is not None and not len(only := _own(only, text)):
                 continue
-            p = Passage(text, window)
+            p = Passage(text, window, STEP if only is not None else 0)
             if p.n <= 0:
                 continue
             within = None
