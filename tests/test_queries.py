@@ -42,3 +42,16 @@ def test_end_to_end_answers_every_note(spark):
     rows = QUERIES["pipeline_end_to_end"](spark, DATA).collect()
     assert sorted(r["note_id"] for r in rows) == sorted(r["conv_id"] for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id").distinct().collect())
     assert all(r["output"] == r["prompt"] for r in rows) and any("[E1] (" in r["prompt"] for r in rows)
+
+
+def test_index_lines_end_as_in_sql(spark, tmp_path):
+    """Carriage returns, separators and vertical tabs within lines, as the query and its SQL read them."""
+    line = lambda c: f"Chapter{c}one ..  12"
+    texts = ["\n".join([line(c)] * 3 + [f"plain{c}text......", f"last{c}", "Part 1\x0b\x0b7"]) for c in (" ", "\r", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028", "\u2029")] + ["", "12", "Contents\r\n" * 9 + "A  1\r\n" * 9]
+    spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("detect_index", "bad_pages"):
+        df = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(df.columns)} from ({ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)
