@@ -123,6 +123,47 @@ def test_chunks_do_not_depend_on_partitions(spark, n):
     assert hash(tuple(sorted(tuple(r) for r in segment.chunk(rows, 400).collect()))) == hash(tuple(sorted(tuple(r) for r in segment.chunk(rows.coalesce(1), 400).collect())))
 
 
+def folded(rows, most, overlap, carry):
+    """Chunks by a plain fold over sentences in order."""
+    out, last, held, start, first, no = [], None, [], 0, None, 0
+
+    def emit(end):
+        out.append((*first, no, held[end - 1][1], " ".join(x[3] for x in held[start:end])))
+
+    for row in sorted(rows):
+        if last is not None and row[0] != last and not carry:
+            emit(len(held))
+            held, start, no, first = [], 0, 0, None
+        i, last = len(held), row[0]
+        held.append(row)
+        first = first or row[:2]
+        if i > start and sum(len(x[3]) for x in held[start:]) > most:
+            emit(i)
+            start, no, first = max(start, i - overlap), no + 1, row[:2]
+    emit(len(held))
+    return sorted((d, n, p, e, t) for d, p, n, e, t in out)
+
+
+@pytest.mark.parametrize("carry", [False, True])
+@pytest.mark.parametrize("overlap, parts", [(0, 3), (1, 40), (2, 7), (2, 60), (3, 200)])
+def test_chunks_cut_in_blocks_are_those_of_one_fold(spark, overlap, parts, carry):
+    """A chunk may run through blocks of any size, also ones of a single short sentence, and no task holds all rows."""
+    import random
+
+    draw = random.Random(parts)
+    rows = [(f"d{min(9, i // 7 if i < 40 else i // 40)}", i // 3, i % 3, "x" * draw.choice([1, 2, 30, 90, 260, 500])) for i in range(400)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        made = segment.chunk(sentence_rows(spark, *rows).repartition(5), 400, overlap, carry)
+        assert "SinglePartition" not in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in made.collect()) == folded(rows, 400, overlap, carry)
+        lists = spark.createDataFrame([(d, p, [x[3] for x in rows if x[:2] == (d, p)]) for d, p in sorted({x[:2] for x in rows})], "doc_id string, page int, sentences array<string>")
+        assert sorted(tuple(r) for r in segment.chunk_lists(lists, 400, overlap, carry).collect()) == folded(rows, 400, overlap, carry)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_vocabulary(spark):
     import math
 
