@@ -328,3 +328,26 @@ def test_all_learned_abbreviations_count(spark):
     assert sorted(known) == sorted(tokens)
     last = f"See {max(tokens)}. Who."
     assert values(spark, lambda c: segment.split_sentences(F.array(c), known), last) == [[last]]
+
+
+def test_terms_are_flagged_in_one_look(spark):
+    """The same as flags by a join with the notes, but neither the notes nor all terms are sorted, shuffled or joined with texts."""
+    texts = ["No fever. Fever and cough", "pia" + "no pain " * 3, "x" * 34 + " piano cough, fever negative. No: fever; CHA₂ not, Cough", "neg: fever NEGATIVES cough  " * 40, "", None, "déjà no-fever µg fever/pain RULED OUT cough" + "é" * 30 + " pain", "fevernegative fever  negative", "deniedeny fever absence of cough"]
+    n = spark.createDataFrame(list(enumerate(texts)), "note_id long, text string")
+    g = spark.createDataFrame([(w, "MEDICATION" if w == "pain" else "DISEASE_DISORDER") for w in ("fever", "cough", "pain", "pain")] + [("x", "OTHER")], "term string, etype string").distinct()
+    want = entities.affirmed(entities.find_terms(n, g), n).select("note_id", "etype", "word", "start", "stop", "negated")
+    got = entities.find_affirmed(n, g)
+    assert got.count() > 90 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    once = entities.find_affirmed(n, g, first=True)
+    assert sorted(map(tuple, entities.first_mentions(once).collect())) == sorted(map(tuple, entities.first_mentions(want.filter("not negated")).collect()))
+    plan = entities.find_terms(n, g)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "note_id" not in plan.split("hashpartitioning")[-1].split(")")[0]
+
+
+def test_queries_come_from_one_look_at_the_fields(spark):
+    """One join of fields with words, however many types there are."""
+    fields = spark.createDataFrame([(1, "MALE", 70, False, "ECG done. Rest.", "flu")], "note_id long, gender string, age int, neonatal boolean, clinical_diary string, diagnosis string")
+    words = spark.createDataFrame([(1, "DIAGNOSTIC_PROCEDURE", ["ecg"], ["ecg"])], "note_id long, etype string, words array<string>, all_words array<string>")
+    made = queries.build_queries(fields, words)
+    assert [(r["q_no"], r["kind"]) for r in made.orderBy("q_no").collect()] == [(1, "DIAGNOSTIC_PROCEDURE"), (2, "BROAD")]
+    assert "Union" not in made._jdf.queryExecution().optimizedPlan().toString()
