@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import ANCHORS
+from ..functions.text import let
 from .entities import condense
 from .notes import age_bracket
 
@@ -25,23 +24,25 @@ def build_queries(fields: DataFrame, words: DataFrame, diary_terms: int = 2) ->
     Types without a ranked word fall back to all their words. The diary's query is for reranking alone, and is left out
     where nothing of the diary is condensed.
     """
-    wide = fields.select("note_id", "diagnosis", "clinical_diary", F.lower("gender").alias("gender"), age_bracket(F.col("age"), F.col("neonatal")).alias("bracket"))
-    met = wide.join(words, "note_id")
-    branches = []
-    for i, (etype, anchor) in enumerate(ANCHORS):
-        own = met.filter(F.col("etype") == etype)
+    of = lambda etype: F.first(F.when(F.col("etype") == etype, F.struct("words", "all_words")), ignorenulls=True).alias(etype)
+    met = fields.select("note_id", "diagnosis", "clinical_diary", F.lower("gender").alias("gender"), age_bracket(F.col("age"), F.col("neonatal")).alias("bracket"))
+    met = met.join(words.groupBy("note_id").agg(*[of(etype) for etype, _ in ANCHORS]), "note_id", "left")
+    query = lambda kind, text, retrieval: F.struct(F.lit(kind).alias("kind"), text.alias("query"), F.lit(retrieval).alias("for_retrieval"))
+    made = []
+    for etype, anchor in ANCHORS:
+        own = F.col(etype)
         if etype == "DIAGNOSTIC_PROCEDURE":
-            short = condense(F.col("clinical_diary"), F.col("words"), diary_terms)
-            own = own.withColumn("_c", short).filter("_c <> ''").withColumn("query", F.concat("_c", F.lit(" "), "diagnosis", F.lit(". " + anchor)))
+            short = condense(F.col("clinical_diary"), own["words"], diary_terms)
+            # let: a lambda's value is computed once, and the note is gone through once
+            told = lambda c: F.when(c != "", query("DIAGNOSTIC_PROCEDURE", F.concat(c, F.lit(" "), "diagnosis", F.lit(". " + dict(ANCHORS)["DIAGNOSTIC_PROCEDURE"])), False))
+            made.append(let(F.when(own.isNotNull(), short), told))
         else:
-            chosen = F.array_join(F.when(F.size("words") > 0, F.col("words")).otherwise(F.col("all_words")), " ")
-            own = own.withColumn("query", F.concat_ws(". ", F.nullif(chosen, F.lit("")), F.nullif(F.col("diagnosis"), F.lit("")), F.lit(anchor)))
-        branches.append(own.select("note_id", F.lit(i).alias("_o"), F.lit(etype).alias("kind"), "query", F.lit(etype != "DIAGNOSTIC_PROCEDURE").alias("for_retrieval")))
+            chosen = F.array_join(F.when(F.size(own["words"]) > 0, own["words"]).otherwise(own["all_words"]), " ")
+            made.append(F.when(own.isNotNull(), query(etype, F.concat_ws(". ", F.nullif(chosen, F.lit("")), F.nullif(F.col("diagnosis"), F.lit("")), F.lit(anchor)), True)))
     broad = F.concat(F.col("diagnosis"), F.lit(" recommendations discharge management "), F.coalesce(F.concat("bracket", F.lit(" ")), F.lit("")), F.col("gender"))
-    branches.append(wide.select("note_id", F.lit(len(ANCHORS)).alias("_o"), F.lit("BROAD").alias("kind"), broad.alias("query"), F.lit(True).alias("for_retrieval")))
-    number = F.row_number().over(Window.partitionBy("note_id").orderBy("_o"))
-    every = reduce(DataFrame.unionByName, branches)
-    return every.select("note_id", number.alias("q_no"), "kind", "query", "for_retrieval", F.lit(True).alias("for_rerank"))
+    made.append(query("BROAD", broad, True))
+    every = met.select("note_id", F.posexplode_outer(F.filter(F.array(*made), lambda q: q.isNotNull())).alias("_i", "_q"))
+    return every.select("note_id", (F.col("_i") + 1).alias("q_no"), "_q.kind", "_q.query", "_q.for_retrieval", F.lit(True).alias("for_rerank"))
 
 
 def single_query(fields: DataFrame) -> DataFrame:
